@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 from ledgermill.llm.common import BROADCAST_ROWS, bounded, fresh, let, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 #: Cutoffs by rule, most lenient first. mean_word_short is negated, so that larger is worse for all.
 CUTOFFS = {
@@ -44,9 +43,9 @@ ALPHA, DELTA = 0.06, 0.05
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _without(text: Column, chars: str) -> Column:
-    """Code points of text that are none of chars."""
-    return F.length(F.translate(text, chars, "")).cast("long")
+def _matches(text: Column, one: str) -> Column:
+    """How many characters of text are in the class `one`. (Splitting is several times as fast here as translate.)"""
+    return F.size(F.split(text, one)).cast("long") - 1
 
 
 def _repeated(words: Column) -> Column:
@@ -81,19 +80,19 @@ def counts(text: Column) -> Column:
     """A struct of the base counts of a text and what the rules need besides."""
     text = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
-    by_word = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).alias("rep")))
+    by_word = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), _repeated(w).alias("rep")))
     return let(
-        F.struct(by_word.alias("w"), dup.alias("l"), _without(text, SPACES).alias("chars"), F.length(text).cast("long").alias("len")),
+        F.struct(by_word.alias("w"), dup.alias("l")),
         lambda x: F.struct(
             x["w"]["n"].alias("n_words"),
-            x["chars"].alias("word_chars"),
-            (x["len"] - _without(text, SYMBOLS)).alias("n_symbols"),
+            x["w"]["chars"].alias("word_chars"),
+            _matches(text, SYMBOLS).alias("n_symbols"),
             x["l"]["dup"].alias("n_dup_lines"),
             x["w"]["rep"].alias("n_repeat_words"),
             x["l"]["lines"].alias("n_lines"),
-            (x["len"] - _without(text, "!?")).alias("n_exclaims"),
+            _matches(text, "[!?]").alias("n_exclaims"),
         ),
     )
 
