@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgermill.llm import packing, quality_rules, sharding
+from ledgermill.llm import bpe, langid, packing, quality_rules, sharding
 from ledgermill.llm.common import table
 
 
@@ -23,8 +23,16 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op10_quality_rules, op9_kd_sharding, op2_best_fit_packing)
+    found = (op10_quality_rules, op9_kd_sharding, op2_best_fit_packing, op4_byte_bpe, op7_language_id)
     return {f.__name__: f for f in found}
 
 
