@@ -36,8 +36,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_PIECES = 250_000
-MEMO_STATES = 60_000
+MEMO_PIECES = 350_000
+MEMO_STATES = 120_000
 MEMO_STEPS = 300_000
 
 
@@ -72,12 +72,16 @@ class Transducer:
     def merged(self, piece: bytes) -> list[bytes]:
         """What the merges make of a few bytes."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        rank = self.ranks.get
-        while len(parts) > 1:
-            best, at = min(((rank(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(1 << 60, 0))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        get, none = self.ranks.get, 1 << 60
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := min(pairs)) < none:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
         return parts
 
     def compatible(self, left: int | None, right: int) -> bool:
@@ -87,7 +91,7 @@ class Transducer:
             if len(self.fits) >= MEMO_STEPS:
                 self.fits.clear()
             a, b = self.token[left], self.token[right]
-            known = self.fits[left, right] = self.merged(a + b) == [a, b]
+            known = self.fits[left, right] = a + b not in self.ranks and self.merged(a + b) == [a, b]
         return known
 
     def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
@@ -101,11 +105,13 @@ class Transducer:
         last, paths = (*state.last, token), (*state.paths, (*state.paths[at], token))
         keep = next((i for i in range(max(0, n - self.longest), n) if read[i:] in self.beginnings), n)
         window, last, paths = read[keep:], last[keep:], list(paths[keep:])
-        same = 0
-        for tokens in zip(*paths, strict=False):
-            if tokens.count(tokens[0]) != len(tokens):
-                break
-            same += 1
+        same, short = 0, paths[0]
+        if len(paths) == 1:
+            same = len(short)
+        elif short:
+            low, high = min(paths), max(paths)  # their common beginning is that of all
+            while same < len(low) and same < len(high) and low[same] == high[same]:
+                same += 1
         # Paths agree as tokens only if they agree as boundaries: each starts at the boundary that all share.
         emitted = paths[0][:same]
         key = (window, last, tuple(p[same:] for p in paths))
