@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgermill.llm import bpe, langid, packing, quality_rules, sharding
+from ledgermill.llm import bpe, html_extract, langid, packing, quality_rules, secret_scan, sharding
 from ledgermill.llm.common import table
 
 
@@ -31,8 +31,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op10_quality_rules, op9_kd_sharding, op2_best_fit_packing, op4_byte_bpe, op7_language_id)
+    found = (op10_quality_rules, op9_kd_sharding, op2_best_fit_packing, op4_byte_bpe, op7_language_id, op6_consensus_html, op8_secret_scan)
     return {f.__name__: f for f in found}
 
 
