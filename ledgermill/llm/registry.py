@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgermill.llm import bpe, html_extract, langid, packing, quality_rules, secret_scan, sharding
+from ledgermill.llm import ann, bpe, html_extract, langid, ngram_join, packing, quality_rules, secret_scan, sharding
 from ledgermill.llm.common import table
 
 
@@ -39,8 +40,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op10_quality_rules, op9_kd_sharding, op2_best_fit_packing, op4_byte_bpe, op7_language_id, op6_consensus_html, op8_secret_scan)
+    found = (op10_quality_rules, op9_kd_sharding, op2_best_fit_packing, op4_byte_bpe, op7_language_id, op6_consensus_html, op8_secret_scan, op5_multiprobe_ann, op1_ngram_join)
     return {f.__name__: f for f in found}
 
 
