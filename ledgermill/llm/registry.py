@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermill.llm import ann, bpe, html_extract, langid, ngram_join, packing, quality_rules, secret_scan, sharding
+from ledgermill.llm import ann, bpe, html_extract, langid, ngram_join, packing, quality_rules, secret_scan, sharding, suffix_dedup
 from ledgermill.llm.common import table
 
 
@@ -48,8 +48,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op10_quality_rules, op9_kd_sharding, op2_best_fit_packing, op4_byte_bpe, op7_language_id, op6_consensus_html, op8_secret_scan, op5_multiprobe_ann, op1_ngram_join)
+    found = (op10_quality_rules, op9_kd_sharding, op2_best_fit_packing, op4_byte_bpe, op7_language_id, op6_consensus_html, op8_secret_scan, op5_multiprobe_ann, op1_ngram_join, op3_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
