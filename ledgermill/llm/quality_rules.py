@@ -169,16 +169,20 @@ def _stratum(df: DataFrame) -> Column:
     return F.coalesce(F.col("lang"), F.lit("\x00"))
 
 
+def _features(docs: DataFrame) -> DataFrame:
+    return stored(docs.select("doc_id", _stratum(docs).alias("stratum"), counts(F.col("text")).alias("c")))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """Per row of docs: doc_id, the base counts, base_failed and kept. The text is read once; what follows runs on the stored counts."""
-    features = stored(docs.select("doc_id", _stratum(docs).alias("stratum"), counts(F.col("text")).alias("c")))
+    features = _features(docs)
     cuts = bounded(stored(thresholds(features, labels, "stratum", **kw)), BROADCAST_ROWS)
     return features.join(cuts, "stratum", "left").select("doc_id", *[F.col("c")[x].alias(x) for x in COUNTS], base_failed(F.col("c")).alias("base_failed"), verdict(F.col("c"), F.col("cutoffs")).alias("kept"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns. The counts are computed again for the filter, which spares a shuffle of the texts."""
-    features = docs.join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi").select("doc_id", _stratum(docs).alias("stratum"), counts(F.col("text")).alias("c"))
+    features = _features(docs)
     cuts = bounded(stored(thresholds(features, labels, "stratum", **kw)), BROADCAST_ROWS)
     s, m = fresh(docs, "lm_stratum", "lm_cutoffs")
     cuts = cuts.select(F.col("stratum").alias(s), F.col("cutoffs").alias(m))

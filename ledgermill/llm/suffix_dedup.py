@@ -84,6 +84,12 @@ def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return h[place[first]], place[first], first, np.r_[first[1:], n]
 
 
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)]).tolist()
+    return list(zip(at, [*at[1:], len(x)])) if at else []
+
+
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int32)
 
@@ -130,8 +136,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
             s = _shard(x, shards)
             order = np.lexsort((d, s))
             x, d, a, s = x[order], d[order], a[order], s[order]
-            at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]][: len(s)])
-            for i, j in zip(at, np.r_[at[1:], len(s)].astype(int), strict=True):
+            for i, j in _runs(s):
                 some, counts = np.unique(d[i:j], return_counts=True)
                 out.append((int(s[i]) + claims, uid[some].tobytes(), ids[some].tobytes(), counts.astype(np.int32).tobytes(), x[i:j].tobytes() if claims else x[i:j].astype(np.uint64).tobytes(), b"" if claims else np.packbits(a[i:j]).tobytes()))
         cols = list(zip(*out, strict=True)) or [()] * 6
@@ -142,9 +147,9 @@ def _claims(uids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
     """uid and its shared anchors."""
     order = np.argsort(uids, kind="stable")
     uids, hashes = uids[order], hashes[order]
-    at = np.flatnonzero(np.r_[True, uids[1:] != uids[:-1]][: len(uids)])
-    parts = [hashes[i:j].tobytes() for i, j in zip(at, np.r_[at[1:], len(uids)].astype(int), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(uids[at], pa.int64()), pa.array(parts, pa.binary())], names=["uid", "anchors"])
+    runs = _runs(uids)
+    parts = [hashes[i:j].tobytes() for i, j in runs]
+    return pa.RecordBatch.from_arrays([pa.array([uids[i] for i, _ in runs], pa.int64()), pa.array(parts, pa.binary())], names=["uid", "anchors"])
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
@@ -229,9 +234,9 @@ def repeated(segments: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.n
 def _spans(uid: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort((start, uid))
     uid, pairs = uid[order], np.stack([start, end], axis=1).astype(np.int64)[order]
-    at = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1]][: len(uid)])
-    parts = [pairs[i:j].tobytes() for i, j in zip(at, np.r_[at[1:], len(uid)].astype(int), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(uid[at], pa.int64()), pa.array(parts, pa.binary())], names=["uid", "spans"])
+    runs = _runs(uid)
+    parts = [pairs[i:j].tobytes() for i, j in runs]
+    return pa.RecordBatch.from_arrays([pa.array([uid[i] for i, _ in runs], pa.int64()), pa.array(parts, pa.binary())], names=["uid", "spans"])
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
