@@ -58,7 +58,7 @@ def flattened_html(html: Column) -> Column:
     s = F.regexp_replace(s, r"<[^>]*>", "")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         s = F.replace(s, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r"\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r"\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def contains_literal(column: Column, needle: str | None) -> Column:

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgermill.functions import arrow
 from ledgermill.functions import normalize as N
 from ledgermill.functions import text as T
-from ledgermill.operators import audit, match, reconcile, reports, tables
+from ledgermill.operators import audit, match, reconcile, reports, review, tables
+from ledgermill.plans.policy import Policy
 from ledgermill.plans.world import SQL as WORLD
 from ledgermill.plans.world import World
 
@@ -429,3 +431,61 @@ def canonical_json(spark, sf_dir):
 @query()
 def hmac_seal(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", audit.hmac_sha256(F.col("props"), "key").alias("seal"))
+
+
+@query(DECIDED.replace("DATE '2026-09-19'", "DATE '1998-01-01'") + ", later AS (SELECT file_id, resultado AS after FROM decisions) SELECT count(*) AS n, after FROM later GROUP BY after")
+def policy_with_other_date(spark, sf_dir):
+    w = World(spark, sf_dir)
+    d = reconcile.decide(w.invoices, w.ledger, w.orders, w.suppliers, w.review, Policy(today="1998-01-01"))
+    return d.groupBy(F.col("resultado").alias("after")).agg(F.count("*").alias("n"))
+
+
+@query(DECIDED + """, h AS (SELECT file_id, len(list_filter(bad, lambda f: f.hard)) > 0 AND fiable AS moves FROM dec)
+SELECT file_id, 'NO_PAGAR' AS before, 'ESCALAR' AS after, 'changed' AS kind FROM h WHERE moves""")
+def what_if_policy(spark, sf_dir):
+    w = World(spark, sf_dir)
+    return review.what_if((w.invoices, w.ledger, w.orders, w.suppliers, w.review), Policy(), hard={"pago_duplicado": "ESCALAR"})
+
+
+_SECOND = """, one AS (SELECT pedido, arg_max(proveedor_id, seq) AS proveedor_id FROM order_rows GROUP BY pedido), known AS (SELECT pedido, s.iban AS expected FROM one JOIN suppliers s USING (proveedor_id)),
+f AS (SELECT k, file_id, pedido_leido AS pedido, iban_leido AS iban FROM invoices), s2 AS (SELECT i.file_id, o.po AS p, CASE WHEN i.k % 3 = 0 THEN NULL WHEN i.k % 13 = 0 THEN 'ES00' ELSE x.iban END AS i FROM invoices i JOIN o ON o.k = i.k JOIN suppliers x ON x.sk = o.sk),
+b AS (SELECT f.file_id, CASE WHEN k1.pedido IS NOT NULL THEN f.pedido WHEN k2.pedido IS NOT NULL THEN s2.p ELSE f.pedido END AS pedido, f.iban, s2.i FROM f JOIN s2 USING (file_id) LEFT JOIN known k1 ON k1.pedido = f.pedido LEFT JOIN known k2 ON k2.pedido = s2.p),
+filled AS (SELECT file_id, b.pedido, coalesce(iban, CASE WHEN i = expected THEN i END) AS iban, coalesce(coalesce(iban, i) <> expected, false) AS deviates FROM b LEFT JOIN known USING (pedido))"""
+
+
+def _filled(w: World) -> DataFrame:
+    known = match.last_per_key(w.orders.select("pedido", "proveedor_id", "seq"), "pedido", "seq").join(w.suppliers.select("proveedor_id", "iban"), "proveedor_id").select("pedido", "iban")
+    first = w.invoices.select("file_id", F.col("pedido_leido").alias("pedido"), F.col("iban_leido").alias("iban"))
+    k = F.col("k")
+    second = w.invoices.select("k", "file_id").join(w.truth.select("k", F.col("po").alias("pedido"), F.col("iban").alias("_iban")), "k")
+    second = second.select("file_id", "pedido", F.when(k % 3 == 0, F.lit(None)).when(k % 13 == 0, "ES00").otherwise(F.col("_iban")).alias("iban"))
+    return review.filled(first, second, known)
+
+
+@query(WORLD + _SECOND + "SELECT file_id, pedido, iban, deviates FROM filled")
+def second_reading_fill(spark, sf_dir):
+    return _filled(World(spark, sf_dir))
+
+
+@query(DECIDED + _SECOND.replace(", one AS (SELECT pedido, arg_max(proveedor_id, seq) AS proveedor_id FROM order_rows GROUP BY pedido), known", ", known").replace("b AS", "b2 AS").replace("FROM b LEFT", "FROM b2 LEFT").replace("b.pedido, coalesce", "b2.pedido, coalesce") + """, lotes AS (SELECT file_id, lote FROM invoices)
+SELECT d.file_id, CASE WHEN f.deviates THEN 'desvio' WHEN lote = 1 THEN 'confirmable' ELSE 'sin_conclusion' END AS state FROM decisions d JOIN filled f USING (file_id) JOIN lotes USING (file_id) WHERE resultado = 'ESCALAR'""")
+def review_queue(spark, sf_dir):
+    w = World(spark, sf_dir)
+    hybrid = w.invoices.select("file_id", F.when(F.col("lote") == 1, "PAGAR").otherwise("ESCALAR").alias("resultado"))
+    return review.queue(decisions(spark, sf_dir), hybrid, _filled(w))
+
+
+@query()
+def date_in_words(spark, sf_dir):
+    months = F.array(*[F.lit(m) for m in "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()])
+    d = F.col("o_orderdate")
+    text = F.concat_ws(" ", F.lit("a"), F.dayofmonth(d).cast("string"), F.lit("de"), F.element_at(months, F.month(d)), F.lit("de dos mil uno"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", arrow.date_in_words(text).alias("fecha"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS edits FROM orders")
+def anchors_fuzzy(spark, sf_dir):
+    k = F.col("o_orderkey")
+    needle = F.concat(F.lit("po-2026-"), F.lpad((k % 10000).cast("string"), 4, "0"))
+    text = F.concat(F.lit("Pedido: "), F.when(k % 3 == 0, F.overlay(needle, F.lit("x"), F.lit(4), F.lit(1))).otherwise(needle), F.lit(" total"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", arrow.found_with_edits(needle, text).alias("edits"))

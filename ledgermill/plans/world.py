@@ -57,6 +57,7 @@ class World:
         both = o.join(s, "sk")
         k = c("k")
         self.suppliers: DataFrame = s
+        self.truth = both
         self.orders = both.where(k % 97 != 0).select(c("po").alias("pedido"), "proveedor_id", c("amount").alias("importe_total"), k.alias("seq"))
         state = F.when(c("st") == "F", "PAGADA").when(c("st") == "O", "PENDIENTE").otherwise("OTRO")
         self.ledger = both.where(k % 101 != 0).select(F.concat(F.lit("AS-"), pad(k, 9)).alias("asiento_id"), c("po").alias("pedido"), c("proveedor_id").alias("proveedor"), "nif", c("amount").alias("importe"), state.alias("estado"), c("d").alias("fecha"), k.alias("seq"))
