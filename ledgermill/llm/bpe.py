@@ -36,8 +36,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_PIECES = 350_000
-MEMO_STATES = 120_000
+MEMO_PIECES = 400_000
+MEMO_STATES = 250_000
 MEMO_STEPS = 300_000
 
 
