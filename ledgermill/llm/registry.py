@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermill.llm import ann, bpe, html_extract, langid, ngram_join, packing, quality_rules, secret_scan, sharding, suffix_dedup
+from ledgermill.llm import ann, bpe, html_extract, langid, ngram_join, packing, quality_rules, secret_scan, sharding, sql, suffix_dedup
 from ledgermill.llm.common import table
 
 
@@ -58,4 +58,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have no form in SQL: trained or sampled models, segment trees, suffix arrays, vocabularies."""
+    return {"op1_ngram_join": sql.OP1, "op10_quality_rules": sql.OP10}
