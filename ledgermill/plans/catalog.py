@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermill.functions import arrow
+from ledgermill.functions import arrow, extract
 from ledgermill.functions import normalize as N
 from ledgermill.functions import text as T
 from ledgermill.operators import audit, match, reconcile, reports, review, tables
@@ -489,3 +489,50 @@ def anchors_fuzzy(spark, sf_dir):
     needle = F.concat(F.lit("po-2026-"), F.lpad((k % 10000).cast("string"), 4, "0"))
     text = F.concat(F.lit("Pedido: "), F.when(k % 3 == 0, F.overlay(needle, F.lit("x"), F.lit(4), F.lit(1))).otherwise(needle), F.lit(" total"))
     return _t(spark, sf_dir, "orders").select("o_orderkey", arrow.found_with_edits(needle, text).alias("edits"))
+
+
+@query(WORLD + "SELECT file_id, CASE WHEN k % 71 = 0 AND k % 41 <> 0 THEN 'PO-2027-' || substr(po, 9) ELSE po END AS pedido, nif, CAST(base AS VARCHAR) AS base, CAST(total0 AS VARCHAR) AS total, strftime(d, '%Y-%m-%d') AS fecha FROM (SELECT i.file_id, i.base, x.* FROM invoices i JOIN (SELECT k, po, nif, d, CAST(total0 AS DECIMAL(18,2)) AS total0 FROM inv0) x USING (k))")
+def text_extraction(spark, sf_dir):
+    w, c = World(spark, sf_dir), F.col
+    i = w.invoices.select("k", "file_id", "pedido_leido", "base").join(w.truth.select("k", "nif", "d", "amount", "po"), "k")
+    total = (c("amount") + F.when(c("k") % 37 == 0, F.lit(1)).otherwise(F.lit(0))).cast(N.MONEY)
+    comma = lambda x: F.replace(x.cast("string"), F.lit("."), F.lit(","))
+    order = F.when(c("k") % 41 == 0, c("po")).otherwise(c("pedido_leido"))
+    text = F.concat_ws("\n", F.concat(F.lit("Pedido: "), order), F.concat(F.lit("NIF: es "), c("nif")), F.concat(F.lit("Fecha "), F.date_format("d", "dd-MM-yyyy")), F.concat(F.lit("Base imponible: "), comma(c("base"))), F.concat(F.lit("TOTAL A PAGAR "), comma(total), F.lit(" €")))
+    f = extract.fields(text)
+    return i.select("file_id", *[f[x].alias(x) for x in ("pedido", "nif", "base", "total", "fecha")])
+
+
+@query("SELECT event_type, sha256(array_to_string([event_type, CAST(count(*) AS VARCHAR), CAST(max(event_id) AS VARCHAR)], '|')) AS etag FROM events GROUP BY 1")
+def listing_etag(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    return e.select("event_type", F.sha2(F.concat_ws("|", "event_type", F.col("n").cast("string"), F.col("last").cast("string")), 256).alias("etag"))
+
+
+@query("SELECT id, file_id, regexp_matches(file_id, '^[\\p{L}\\p{N}][\\p{L}\\p{N}_.\\-]{0,180}$') AND suffix(file_id, '.pdf') AS ok FROM (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'ñ_' ELSE '' END || CASE o_orderkey % 5 WHEN 0 THEN '_a' WHEN 1 THEN '../x' ELSE 'f' END || CAST(o_orderkey AS VARCHAR) || CASE o_orderkey % 3 WHEN 0 THEN '.pdf' ELSE '.PDF' END AS file_id FROM orders)")
+def file_id_predicate(spark, sf_dir):
+    k = F.col("o_orderkey")
+    name = F.concat(F.when(k % 4 == 0, "ñ_").otherwise(""), F.when(k % 5 == 0, "_a").when(k % 5 == 1, "../x").otherwise("f"), k.cast("string"), F.when(k % 3 == 0, ".pdf").otherwise(".PDF"))
+    rows = _t(spark, sf_dir, "orders").select(k.alias("id"), name.alias("file_id"))
+    return rows.withColumn("ok", F.col("file_id").rlike(r"(?U)^[^\W_][\w.\-]{0,180}$") & F.endswith("file_id", F.lit(".pdf")))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS fingerprint FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1, 2")
+def distribution_fingerprint(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    ids = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string"))
+    return o.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.sha2(F.array_join(ids, ","), 256).alias("fingerprint"))
+
+
+@query("SELECT l.quality, round(sum(d.n_chars * l.toxic) * 1.0 / sum(d.n_chars), 9) AS weighted, round(CASE WHEN sum(l.toxic) = 0 THEN 0 ELSE 2.0 * sum(l.toxic * (d.n_chars % 2)) / (sum(l.toxic) + sum(d.n_chars % 2)) END, 9) AS f1 FROM labels l JOIN documents d USING (doc_id) GROUP BY 1")
+def weighted_error_and_f1(spark, sf_dir):
+    d = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    n, t = F.col("n_chars"), F.col("toxic")
+    f1 = F.when(F.sum(t) == 0, 0.0).otherwise(2.0 * F.sum(t * (n % 2)) / (F.sum(t) + F.sum(n % 2)))
+    return d.groupBy("quality").agg(F.round(F.sum(n * t) / F.sum(n), 9).alias("weighted"), F.round(f1, 9).alias("f1"))
+
+
+@query("SELECT k, field, missing, sample FROM (SELECT 1 AS k, 'lang' AS field, count(*) FILTER (lang = 'en') AS missing, array_to_string(list_slice(list(CAST(doc_id AS VARCHAR) ORDER BY doc_id) FILTER (lang = 'en'), 1, 3), ',') AS sample FROM documents UNION ALL SELECT 1, 'source', count(*) FILTER (source = 'src0'), array_to_string(list_slice(list(CAST(doc_id AS VARCHAR) ORDER BY doc_id) FILTER (source = 'src0'), 1, 3), ',') FROM documents)")
+def field_null_census(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.nullif("lang", F.lit("en")).alias("lang"), F.nullif("source", F.lit("src0")).alias("source"))
+    return reports.null_census(d, "doc_id", ["lang", "source"]).withColumn("k", F.lit(1))
