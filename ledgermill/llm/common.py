@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -34,12 +35,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once as a table in the shared folder and read again: its lineage is cut, so that lost executors cost no recomputation."""
+def stored(df: DataFrame, free: bool = False) -> DataFrame:
+    """df, written once as a table in the shared folder and read again: its lineage is cut, so that lost executors cost no recomputation.
+
+    free: the shuffle files behind it, which nothing needs any more, go now and not at the driver's next collection of garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgermill-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermill.llm.common import BROADCAST_ROWS, bounded, stored
+from ledgermill.llm.common import BROADCAST_ROWS, bounded, fresh, stored
 from ledgermill.llm.ngram_join import by_key
 from ledgermill.llm.suffix_array import permuted_prefixes, suffix_array
 
@@ -109,6 +109,11 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
+def _keys(h: np.ndarray, shards: int) -> np.ndarray:
+    """The shard and 32 further bits: what shards know of an anchor. Should two anchors share it, the segments tell them apart."""
+    return (_shard(h, shards).astype(np.int64) << 32) | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 ANCHORS = "shard int, uids binary, docs binary, counts binary, hashes binary, again binary"
 
 
@@ -138,18 +143,44 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
             x, d, a, s = x[order], d[order], a[order], s[order]
             for i, j in _runs(s):
                 some, counts = np.unique(d[i:j], return_counts=True)
-                out.append((int(s[i]) + claims, uid[some].tobytes(), ids[some].tobytes(), counts.astype(np.int32).tobytes(), x[i:j].tobytes() if claims else x[i:j].astype(np.uint64).tobytes(), b"" if claims else np.packbits(a[i:j]).tobytes()))
+                out.append((int(s[i]) + claims, uid[some].tobytes(), ids[some].tobytes(), counts.astype(np.int32).tobytes(), x[i:j].astype(np.uint32).tobytes(), b"" if claims else np.packbits(a[i:j]).tobytes()))
         cols = list(zip(*out, strict=True)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["shard", "uids", "docs", "counts", "hashes", "again"])
 
 
-def _claims(uids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    """uid and its shared anchors."""
-    order = np.argsort(uids, kind="stable")
-    uids, hashes = uids[order], hashes[order]
-    runs = _runs(uids)
-    parts = [hashes[i:j].tobytes() for i, j in runs]
-    return pa.RecordBatch.from_arrays([pa.array([uids[i] for i, _ in runs], pa.int64()), pa.array(parts, pa.binary())], names=["uid", "anchors"])
+PACKED = "bucket int, uids binary, counts binary, values binary"
+
+
+def _packed(uids: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """For each bucket of documents one row: their uids, how many values each has, and the values. So few rows leave a shard, however many documents it knows."""
+    bucket = (uids.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((uids, bucket))
+    uids, bucket, values = uids[order], bucket[order], values[order]
+    out = []
+    for i, j in _runs(bucket):
+        own = _runs(uids[i:j])
+        out.append((int(bucket[i]), uids[i:j][[k for k, _ in own]].tobytes(), np.array([b - a for a, b in own], np.int32).tobytes(), values[i:j].tobytes()))
+    cols = list(zip(*out, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "uids", "counts", "values"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """uid and all its values, from the rows of each bucket. width: numbers in a value."""
+    for group in by_key(batches, "bucket"):
+        t = pa.Table.from_batches(group)
+        col = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in t[name]])
+        uids = np.repeat(col("uids", np.int64), col("counts", np.int32))
+        values = col("values", np.int64).reshape(-1, width)
+        order = np.argsort(uids, kind="stable")
+        uids, values = uids[order], values[order]
+        for part in range(0, len(runs := _runs(uids)), 1000):
+            some = runs[part : part + 1000]
+            yield pa.RecordBatch.from_arrays([pa.array(uids[[i for i, _ in some]], pa.int64()), pa.array([values[i:j].tobytes() for i, j in some], pa.binary())], names=["uid", "values"])
+
+
+def _by_document(packed: DataFrame, buckets: int, width: int, name: str) -> DataFrame:
+    rows = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(lambda it: _unpacked(it, width), "uid long, values binary").withColumnRenamed("values", name)
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
@@ -159,7 +190,7 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[
         col = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in t[name]]
         counts = col("counts", np.int32)
         uid = np.concatenate([np.repeat(u, c) for u, c in zip(col("uids", np.int64), counts, strict=True)])
-        h = np.concatenate(col("hashes", np.uint64))
+        h = np.concatenate(col("hashes", np.uint32)).astype(np.int64) | (shard % shards << 32)
         if shard < shards:
             doc = np.concatenate([np.repeat(d, c) for d, c in zip(col("docs", np.int64), counts, strict=True)])
             again = np.concatenate([np.unpackbits(a, count=int(c.sum())).astype(bool) for a, c in zip(col("again", np.uint8), counts, strict=True)])
@@ -172,25 +203,23 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[
             keep = np.repeat(met, size) & ~again
             h, uid = h[keep], uid[keep]
         if len(h):
-            yield _claims(uid, h)
+            yield _packed(uid, h, shards)
 
 
 SEGMENTS = "shard int, uids binary, docs binary, starts binary, sizes binary, bytes binary"
-SPANS = "uid long, spans binary"
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """For each shard: segments around shared anchors. Of equal segments in a batch only the least document's go to the shard; the others' are spans at once (shard -1)."""
+    """For each shard: segments around shared anchors. Of equal segments in a batch only the least document's go to the shard; the others' are spans at once, packed by bucket (shard -1 - bucket)."""
     for rows in _gathered(batches):
         rows.sort(key=lambda r: r["doc_id"])
         by: dict[int, list] = {}
         seen: dict[bytes, int] = {}
-        done: list[tuple[int, bytes]] = []
+        done: list[tuple[int, int, int]] = []
         for r in rows:
             raw = (r["text"] or "").encode()
             h, _, first, last = anchors(np.frombuffer(raw, np.uint8))
-            wanted = np.unique(np.concatenate([np.frombuffer(a, np.uint64) for a in r["anchors"]]))
-            ok = np.isin(h, wanted)
+            ok = np.isin(_keys(h, shards), np.frombuffer(r["anchors"], np.int64))
             h, first, last = h[ok], first[ok], last[ok] + LENGTH - 1
             known = []
             for s, i, j in zip(_shard(h, shards).tolist(), first.tolist(), last.tolist(), strict=True):
@@ -200,12 +229,15 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa
                 else:
                     by.setdefault(s, []).append((r["uid"], r["doc_id"], i, j - i, segment))
             if known:
-                done.append((r["uid"], np.array(known, np.int64).tobytes()))
+                done += [(r["uid"], i, j) for i, j in known]
         out = []
         for s, segments in by.items():
             u, d, i, n, x = zip(*segments, strict=True)
             out.append((s, np.array(u, np.int64).tobytes(), np.array(d, np.int64).tobytes(), np.array(i, np.int64).tobytes(), np.array(n, np.int32).tobytes(), b"".join(x)))
-        out += [(-1 - u % shards, np.array([u], np.int64).tobytes(), b"", b"", b"", x) for u, x in done]
+        if done:
+            found = np.array(done, np.int64)
+            known = _packed(np.ascontiguousarray(found[:, 0]), found[:, 1:], shards).to_pylist()
+            out += [(-1 - x["bucket"], x["uids"], b"", b"", x["counts"], x["values"]) for x in known]
         cols = list(zip(*out, strict=True)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["shard", "uids", "docs", "starts", "sizes", "bytes"])
 
@@ -231,20 +263,13 @@ def repeated(segments: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.n
     return out, begin
 
 
-def _spans(uid: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((start, uid))
-    uid, pairs = uid[order], np.stack([start, end], axis=1).astype(np.int64)[order]
-    runs = _runs(uid)
-    parts = [pairs[i:j].tobytes() for i, j in runs]
-    return pa.RecordBatch.from_arrays([pa.array([uid[i] for i, _ in runs], pa.int64()), pa.array(parts, pa.binary())], names=["uid", "spans"])
-
-
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settled(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Spans of every document that isn't the first to have a string, packed by bucket."""
     for group in by_key(batches, "shard"):
         t = pa.Table.from_batches(group)
-        if t["shard"][0].as_py() < 0:
-            uid = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t["uids"]])
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), t["bytes"].combine_chunks().cast(pa.binary())], names=["uid", "spans"])
+        if (shard := t["shard"][0].as_py()) < 0:
+            known = t.select(["uids", "sizes", "bytes"]).rename_columns(["uids", "counts", "values"])
+            yield from known.add_column(0, "bucket", pa.array([-1 - shard] * len(known), pa.int32())).to_batches()
             continue
         col = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in t[name]])
         uid, doc, start, size = col("uids", np.int64), col("docs", np.int64), col("starts", np.int64), col("sizes", np.int32).astype(np.int64)
@@ -274,12 +299,12 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((uid[k], a[run] + shift, b[run] - 1 + LENGTH + shift))
         parts = [np.concatenate(x) for x in zip(*out, strict=True)]
         if len(parts[0]):
-            yield _spans(*parts)
+            yield _packed(parts[0], np.stack(parts[1:], axis=1).astype(np.int64), shards)
 
 
-def merged(spans: list[bytes]) -> list[tuple[int, int]]:
+def merged(spans: bytes) -> list[tuple[int, int]]:
     """Maximal removed runs from packed (start, end) pairs."""
-    pairs = np.concatenate([np.frombuffer(s, np.int64).reshape(-1, 2) for s in spans])
+    pairs = np.frombuffer(spans, np.int64).reshape(-1, 2)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     reach = np.maximum.accumulate(pairs[:, 1])
     new = np.r_[True, pairs[1:, 0] > reach[:-1]]
@@ -299,8 +324,8 @@ def _uid() -> Column:
     return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """facts: uid, doc_id, n_bytes, sha256 and copy (an earlier document has the same text) of every row; found: uid, text and packed spans of the other documents that lose bytes."""
+def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """facts: uid, doc_id, n_bytes, sha256 and copy (an earlier document has the same text) of every row; candidates: uid and text of other documents that may lose bytes; spans: uid and packed spans of those that do."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("uid", _uid())
     facts = stored(texts.select("uid", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256")))
     least = facts.groupBy("sha256").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("sha256", "least")
@@ -310,16 +335,17 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = bounded(facts.where("copy").select("uid").distinct(), BROADCAST_ROWS)
     first = texts.where("doc_id is not null").where(F.octet_length("text") >= LENGTH).join(copies, "uid", "left_anti")
     dealt = first.mapInArrow(lambda it: _anchor_rows(it, shards), ANCHORS).repartition(2 * shards, "shard").sortWithinPartitions("shard")
-    claims = dealt.mapInArrow(lambda it: _shared_anchors(it, shards), "uid long, anchors binary").groupBy("uid").agg(F.collect_list("anchors").alias("anchors"))
-    candidates = stored(first.join(claims, "uid").dropDuplicates(["uid"]))
+    claims = _by_document(dealt.mapInArrow(lambda it: _shared_anchors(it, shards), PACKED), shards, 1, "anchors")
+    candidates = stored(first.join(claims, "uid"), free=True)
     segments = candidates.mapInArrow(lambda it: _segment_rows(it, shards), SEGMENTS).repartition(2 * shards, "shard").sortWithinPartitions("shard")
-    spans = segments.mapInArrow(_settled, SPANS).groupBy("uid").agg(F.collect_list("spans").alias("spans"))
-    return facts, candidates.select("uid", "text").join(spans, "uid")
+    spans = _by_document(segments.mapInArrow(lambda it: _settled(it, shards), PACKED), shards, 2, "spans")
+    return facts, candidates.select("uid", "text"), spans
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    facts, found = repeated_spans(docs)
+    facts, candidates, spans = repeated_spans(docs)
+    spans = stored(spans, free=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,7 +356,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["uid", "n_removed", "n_spans", "kept"])
 
-    shorter = found.select("uid", "text", "spans").mapInArrow(cut, "uid long, n_removed long, n_spans long, kept string")
+    shorter = candidates.join(spans, "uid").select("uid", "text", "spans").mapInArrow(cut, "uid long, n_removed long, n_spans long, kept string")
+    shorter = shorter.dropDuplicates(["uid"])  # of repeated rows
     out = facts.join(shorter, "uid", "left")
     copy, none = F.col("copy"), F.lit(0).cast("long")
     return out.select(
@@ -342,18 +369,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     )
 
 
-def kept_text(text: str | None, spans: list[bytes] | None) -> str | None:
+def kept_text(text: str | None, spans: bytes | None) -> str | None:
     """text without its removed runs; bytes of a character that a cut split go too."""
     return text if text is None or not spans else kept_bytes(text.encode(), merged(spans)).decode("utf-8", "ignore")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with what earlier documents have taken out of `text`, other columns as they are; rows of which nothing is left go."""
-    facts, found = repeated_spans(docs)
-    uid, gone, packed = (f"lm_{c}_" for c in ("uid", "copy", "spans"))
+    facts, _, spans = repeated_spans(docs)
+    spans = stored(spans, free=True)
+    uid, packed = fresh(docs, "lm_uid", "lm_spans")
     rows = docs.withColumn(uid, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
     copies = facts.where("copy").select(F.col("uid").alias(uid)).distinct()
-    rows = rows.join(bounded(copies, BROADCAST_ROWS), uid, "left_anti").join(found.select(F.col("uid").alias(uid), F.col("spans").alias(packed)), uid, "left")
+    rows = rows.join(bounded(copies, BROADCAST_ROWS), uid, "left_anti").join(spans.select(F.col("uid").alias(uid), F.col("spans").alias(packed)), uid, "left")
     keep = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
