@@ -1,0 +1,37 @@
+"""The whole job is done: cases that a shortened one would miss."""
+
+from __future__ import annotations
+
+import random
+import string
+
+import numpy as np
+import pytest
+
+from ledgermill.llm import secret_scan
+
+
+@pytest.fixture(scope="module")
+def net():
+    cases = list(secret_scan.generated(3000, 3))
+    x = np.frombuffer(b"".join(c for _, c in cases), np.uint8).reshape(-1, secret_scan.WIDTH)
+    y = np.array([int(k) for k, _ in cases])
+    return secret_scan.Network.new().fit(x, y, steps=secret_scan.STEPS).calibrate(x, y)
+
+
+def test_secret_at_the_end_of_a_long_run(net):
+    r = random.Random(5)
+    hits = alarms = 0
+    for _ in range(40):
+        key = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(23)) + "7"
+        text = f"post to https://www.example.com/help/articles/for/the/people/of/this/site/{key} then"
+        hits += key not in secret_scan.redacted_text(text, secret_scan.scan(text, net))
+        plain = "see https://www.example.com/help/articles/3/using/the/search/of/this/site/well/today then"
+        alarms += bool(secret_scan.scan(plain, net))
+    assert hits >= 38 and not alarms
+    assert [e for _, e in secret_scan.windows(0, 100)][-1] == 100 and secret_scan.windows(3, 51) == [(3, 51)]
+
+
+def test_windows_cover_a_run():
+    for n in range(1, 200):
+        assert set().union(*(range(s, e) for s, e in secret_scan.windows(7, 7 + n))) == set(range(7, 7 + n))
