@@ -524,6 +524,13 @@ def distribution_fingerprint(spark, sf_dir):
     return o.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.sha2(F.array_join(ids, ","), 256).alias("fingerprint"))
 
 
+@query("""WITH p AS (SELECT o_orderstatus, o_orderpriority, o_orderkey >> 14 AS part, count(*) AS n, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS h FROM orders GROUP BY 1, 2, 3)
+SELECT o_orderstatus, o_orderpriority, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(CAST(part AS VARCHAR) || ':' || h, ',' ORDER BY part)) AS fingerprint FROM p GROUP BY 1, 2""")
+def distribution_fingerprint_whole(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_orderkey")
+    return reports.fingerprints(o, ["o_orderstatus", "o_orderpriority"], "o_orderkey")
+
+
 @query("SELECT l.quality, round(sum(d.n_chars * l.toxic) * 1.0 / sum(d.n_chars), 9) AS weighted, round(CASE WHEN sum(l.toxic) = 0 THEN 0 ELSE 2.0 * sum(l.toxic * (d.n_chars % 2)) / (sum(l.toxic) + sum(d.n_chars % 2)) END, 9) AS f1 FROM labels l JOIN documents d USING (doc_id) GROUP BY 1")
 def weighted_error_and_f1(spark, sf_dir):
     d = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
