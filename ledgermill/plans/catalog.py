@@ -374,6 +374,14 @@ def arithmetic_coherence(spark, sf_dir):
     return reports.coherent_amounts(match.numbered(a, ["doc"], "x", "l_linenumber"), "doc", "rn", "x")
 
 
+@query("""WITH a AS (SELECT l_orderkey AS doc, l_linenumber AS i, CAST(round(CAST(l_quantity AS INT) * 100) AS BIGINT) AS x FROM lineitem), r AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY x, i) AS i, x FROM a),
+s AS (SELECT a.doc, count(*) AS n FROM r a JOIN r b ON a.doc = b.doc AND a.i < b.i JOIN r c ON c.doc = a.doc AND c.i <> a.i AND c.i <> b.i AND abs(a.x + b.x - c.x) <= 2 GROUP BY 1), t AS (SELECT a.doc, count(*) AS n FROM r a JOIN r b ON a.doc = b.doc AND a.i <> b.i AND abs(a.x * 121 - b.x * 100) <= 200 GROUP BY 1)
+SELECT d.doc, coalesce(s.n, 0) AS n_sums, coalesce(t.n, 0) AS n_taxed FROM (SELECT DISTINCT doc FROM r) d LEFT JOIN s USING (doc) LEFT JOIN t USING (doc)""")
+def arithmetic_coherence_whole(spark, sf_dir):
+    a = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_linenumber", F.col("l_quantity").cast("int").alias("x"))
+    return reports.coherent_amounts(match.numbered(a, ["doc"], "x", "l_linenumber"), "doc", "rn", "x")
+
+
 @query("SELECT l_orderkey * 10 + l_linenumber AS k, round(CASE WHEN l_quantity * l_quantity > 0 THEN greatest(least(l_quantity, 30.0) - 5.0, 0.0) * greatest(least(l_quantity, 20.0) - 2.0, 0.0) / (l_quantity * l_quantity) ELSE 0 END, 9) AS share FROM lineitem")
 def box_coverage(spark, sf_dir):
     q, z = F.col("l_quantity"), F.lit(0.0)

@@ -36,3 +36,15 @@ def test_fingerprint_takes_every_order(spark, bits):
     assert rows(reports.fingerprints(orders, ["o_orderstatus", "o_orderpriority"], "o_orderkey", bits).toPandas()) == want
     if bits == 14:
         assert rows(catalog.QUERIES["distribution_fingerprint_whole"](spark, SF).toPandas()) == want == sql("distribution_fingerprint_whole", "orders")
+
+
+def test_coherence_takes_every_document(spark):
+    docs = defaultdict(list)
+    for k, q in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_quantity").collect():
+        docs[k].append(int(q) * 100)
+    want = []
+    for k, a in docs.items():
+        n = range(len(a))
+        sums = sum(abs(a[i] + a[j] - a[x]) <= 2 for i in n for j in n if i < j for x in n if x not in (i, j))
+        want.append((k, sums, sum(abs(a[i] * 121 - a[j] * 100) <= 200 for i in n for j in n if i != j)))
+    assert rows(catalog.QUERIES["arithmetic_coherence_whole"](spark, SF).toPandas()) == sorted(want) == sql("arithmetic_coherence_whole", "lineitem")
