@@ -7,7 +7,9 @@ their estimated success: of a neighbour at the distance `d`, projection i falls
 into a slot with the probability that a normal deviate of width d around the
 query's own projection lands there, and the product over the projections is the
 bucket's. It goes on until the visited buckets' probabilities add up to what each
-table has to contribute for the target recall. All rows are indexed; rows and
+table has to contribute for the target recall. m is lowered until that takes no
+more than MAX_PROBES buckets for some of the sample; a query that needs more all
+the same visits none and is searched against all rows. All rows are indexed; rows and
 visits meet by bucket; there the distances are computed exactly, in double
 precision, and only each query's best K leave a task. Buckets of over HOT_ROWS
 rows are split, and visits to them go to every part.
@@ -38,6 +40,8 @@ from ledgermill.llm.common import BROADCAST_ROWS, bounded, stored
 
 K, TABLES, BUCKET_ROWS, HOT_ROWS = 10, 2, 200, 5_000
 RECALL, SAMPLE_ROWS, WIDTH, MAX_HASHES, MAX_PROBES = 0.98, 10_000, 2.5, 16, 1 << 16
+#: Rows of the sample that m is tried on.
+TRIED = 5
 #: Queries whose best rows a task holds at once.
 HELD_QUERIES = 20_000
 FOUND = "query_id long, vec_id long, score double"
@@ -57,7 +61,7 @@ class Hashes:
 
     def __init__(self, dim: int, m: int, tables: int, width: float, distance: float, seed: int = 11):
         g = np.random.default_rng(seed)
-        self.m, self.tables, self.width, self.distance = m, tables, width, distance
+        self.m, self.tables, self.width, self.distance, self.most = m, tables, width, distance, MAX_PROBES
         self.a, self.b = g.standard_normal((tables, dim, max(m, 1))), g.uniform(0, width, (tables, max(m, 1)))
 
     def places(self, x: np.ndarray, table: int) -> np.ndarray:
@@ -69,7 +73,7 @@ class Hashes:
         return [f"{table}:" + ",".join(map(str, s)) for s in np.floor(self.places(x, table)).astype(np.int64).tolist()]
 
     def visits(self, x: np.ndarray, table: int, mass: float) -> list[str]:
-        """The buckets for one query, most promising first, until their estimated success reaches mass."""
+        """The buckets for one query, most promising first, until their estimated success reaches mass; none if more than `most` are needed."""
         if not self.m:
             return [f"{table}:"]
         place = self.places(x[None], table)[0]
@@ -82,7 +86,7 @@ class Hashes:
         cost = [[-math.log(max(p, 1e-12)) for p, _ in o] for o in options]
         out, total = [], 0.0
         heap = [(sum(c[0] for c in cost), 0, (0,) * self.m)]  # cost, first place that may still be advanced, choices
-        while heap and total < mass and len(out) < MAX_PROBES:
+        while heap and total < mass and len(out) < self.most:
             c, first, choice = heapq.heappop(heap)
             out.append(f"{table}:" + ",".join(str(o[k][1]) for o, k in zip(options, choice, strict=True)))
             total += math.exp(-c)
@@ -90,7 +94,12 @@ class Hashes:
                 k = choice[i] + 1
                 if k < len(options[i]):
                     heapq.heappush(heap, (c - cost[i][k - 1] + cost[i][k], i, (*choice[:i], k, *choice[i + 1 :])))
-        return out
+        return out if total >= mass else []
+
+
+def mass_of(tables: int) -> float:
+    """The success that each table has to contribute."""
+    return 1 - (1 - RECALL) ** (1 / tables)
 
 
 def fit(rows: DataFrame, n: int, k: int) -> Hashes:
@@ -103,7 +112,10 @@ def fit(rows: DataFrame, n: int, k: int) -> Hashes:
     # Standard deviation of a projection: the root of the mean squared distance from the centre.
     width = WIDTH * (float(np.sqrt(((sample - sample.mean(0)) ** 2).sum(1).mean())) or 1.0)
     m = min(MAX_HASHES, max(0, round(math.log2(max(n, 1) / BUCKET_ROWS) / 1.2)))
-    return Hashes(sample.shape[1], m, TABLES, width, distance)
+    hashes = Hashes(sample.shape[1], m, TABLES, width, distance)
+    while hashes.m and not all(hashes.visits(x, t, mass_of(TABLES)) for x in some[:TRIED] for t in range(TABLES)):
+        hashes = Hashes(sample.shape[1], hashes.m - 1, TABLES, width, distance)
+    return hashes
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -160,7 +172,7 @@ def _meet(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.Re
 def _search(rows: DataFrame, queries: DataFrame, hashes: Hashes, dim: int, k: int) -> DataFrame:
     """The best k of each query in the buckets that it visits, as found by each task."""
     held = rows.sparkSession.sparkContext.broadcast(hashes)
-    mass = 1 - (1 - RECALL) ** (1 / hashes.tables)
+    mass = mass_of(hashes.tables)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,7 +183,8 @@ def _search(rows: DataFrame, queries: DataFrame, hashes: Hashes, dim: int, k: in
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, x, v in zip(b.column("id"), _matrix(b.column("v"), dim), b.column("v"), strict=True):
-                keys = [key for t in range(held.value.tables) for key in held.value.visits(x, t, mass)]
+                tables = [held.value.visits(x, t, mass) for t in range(held.value.tables)]
+                keys = [key for visits in tables for key in visits] if all(tables) else []
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([number.as_py()] * len(keys), pa.int64()), pa.array([v.as_py()] * len(keys), pa.list_(pa.float64()))], names=["bucket", "id", "v"])
 
     shape = "bucket string, id long, v array<double>"

@@ -7,8 +7,9 @@ import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ledgermill.llm import secret_scan
+from ledgermill.llm import ann, secret_scan
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +36,25 @@ def test_secret_at_the_end_of_a_long_run(net):
 def test_windows_cover_a_run():
     for n in range(1, 200):
         assert set().union(*(range(s, e) for s, e in secret_scan.windows(7, 7 + n))) == set(range(7, 7 + n))
+
+
+@pytest.mark.parametrize("tried", [5, 0])
+def test_neighbours_where_few_buckets_may_be_visited(spark, monkeypatch, tried):
+    """Whether m is lowered or not, no query is left short of its mass."""
+    monkeypatch.setattr(ann, "MAX_PROBES", 2)
+    monkeypatch.setattr(ann, "TRIED", tried)
+    x = np.random.default_rng(2).standard_normal((3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0).collect()
+    hits = 0
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.97 * 300
+
+
+def test_visits_never_stop_short_of_their_mass(monkeypatch):
+    monkeypatch.setattr(ann, "MAX_PROBES", 2)
+    short = ann.Hashes(16, 8, 2, 2.5, 1.2)
+    assert short.visits(np.ones(16), 0, 0.859) == [] and 1 <= len(short.visits(np.ones(16), 0, 1e-6)) <= 2
