@@ -9,7 +9,10 @@ falls back to its own best container.
 
 Blocks are what block-level tags separate. Menus, headers and footers of the
 page, sidebars, notices, adverts, forms, comments, scripts, styles and markup
-are left out, wherever they stand.
+are left out, wherever they stand. An element is not left out for its class or
+id alone if it holds a <main>, the page's largest <article>, or, on a page with
+neither, most of the text (comments excepted): then only what is noise inside
+it goes.
 
 Defined cases: null html counts as empty and gives empty text; a page without
 any text too; a null or odd url counts as the host ""; broken markup (missing
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 from ledgermill.llm.common import BROADCAST_ROWS, bounded, fresh, stored
 
 TOKEN = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<other>[!?])[^>]*(?:>|\Z)|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+ATTRS = {"class", "id", "role", "hidden", "aria-hidden", "style"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Never part of the main text.
@@ -47,15 +51,34 @@ NOISE = re.compile(
     r"comments?|commentlist|comment-list|respond|replies|disqus|login|search|pagination|pager|tags|tagcloud|skip|copyright|disclaimer)(?:$|[\s_\d-])",
     re.I,
 )
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|comment-list|respond|replies|disqus)(?:$|[\s_\d-])", re.I)
 GOOD = re.compile(r"article|content|main|post|entry|story|body|text", re.I)
 SEPARATOR = "\n"
 
 
 class _Element:
-    __slots__ = ("tag", "path", "chain", "out", "link")
+    __slots__ = ("tag", "path", "chain", "out", "link", "named", "articles")
 
-    def __init__(self, tag: str, path: str, chain: tuple, out: bool, link: bool):
+    def __init__(self, tag: str, path: str, chain: tuple, out: bool, link: bool, named: tuple = (), articles: tuple = ()):
         self.tag, self.path, self.chain, self.out, self.link = tag, path, chain, out, link
+        self.named, self.articles = named, articles  # numbers of the elements around it that are noise by name, and of the articles
+
+
+def _kept(found: list, around: dict[int, tuple], named: dict[int, str], mains: list[tuple]) -> list:
+    """The blocks outside elements that are noise by name; those that hold the main text are none."""
+    size, article = dict.fromkeys(named, 0), dict.fromkeys(around, 0)
+    for (text, _, _), inside, articles in found:
+        for k in inside:
+            size[k] += len(text)
+        for k in articles:
+            article[k] += len(text)
+    spared = {k for main in mains for k in main}
+    if article:
+        spared.update(around[max(article, key=lambda k: (article[k], -k))])
+    elif not mains:
+        half = sum(len(x[0][0]) for x in found) / 2
+        spared.update(k for k, names in named.items() if size[k] > half and not COMMENTS.search(names))
+    return [block for block, inside, _ in found if spared.issuperset(inside)]
 
 
 def _name(tag: str, classes: str) -> str:
@@ -67,6 +90,9 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     """The blocks of a page outside its noise: text, paths of the containers around it (outermost first), characters of link text."""
     root = _Element("", "", (), False, False)
     stack, found, buffer, linked = [root], [], [], 0
+    around: dict[int, tuple] = {}  # by article: the elements around it that are noise by name
+    named: dict[int, str] = {}
+    mains: list[tuple] = []  # the same by <main>
     pos, n = 0, len(page)
 
     def flush() -> None:
@@ -74,7 +100,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                found.append((text, stack[-1].chain, linked))
+                found.append(((text, stack[-1].chain, linked), stack[-1].named, stack[-1].articles))
             buffer.clear()
         linked = 0
 
@@ -150,23 +176,31 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         top = stack[-1]
         attrs = defaultdict(str)
         for name, *values in ATTR.findall(m["attrs"]) if m["attrs"] else ():
-            attrs[name.lower()] += "".join(values) or "yes"
-        path, chain = top.path, top.chain
+            if name.lower() in ATTRS:
+                attrs[name.lower()] += "".join(values) or "yes"
+        path, chain, noise, articles = top.path, top.chain, top.named, top.articles
         out = top.out or tag in OUT or attrs["role"].lower() in OUT_ROLES
         if tag not in INLINE:
             inside = any(x.tag in {"article", "main"} for x in stack)
             out = out or tag == "header" and not inside
             if tag not in {"html", "body", "article", "main"}:
-                named = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attrs['class']} {attrs['id']}")
-                out = out or bool(NOISE.search(named)) and not (tag == "header" or inside and tag in {"h1", "h2", "h3"})
+                names = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attrs['class']} {attrs['id']}")
+                if NOISE.search(names) and not (tag == "header" or inside and tag in {"h1", "h2", "h3"}):
+                    named[len(named)] = names
+                    noise = (*noise, len(named) - 1)
             if tag not in {"html", "p"}:
                 path = f"{path}>{_name(tag, attrs['class'])}"
                 if tag in CONTAINERS:
                     chain = (*chain, path)
         out = out or "hidden" in attrs or attrs["aria-hidden"] == "true" or "display:none" in attrs["style"].replace(" ", "").lower()
-        stack.append(_Element(tag, path, chain, out, top.link or tag == "a"))
+        if tag == "main" and not out:
+            mains.append(noise)
+        if tag == "article" and not out:
+            articles = (*articles, len(around))
+            around[len(around)] = noise
+        stack.append(_Element(tag, path, chain, out, top.link or tag == "a", noise, articles))
     flush()
-    return found
+    return _kept(found, around, named, mains)
 
 
 def best_path(found: list[tuple[str, tuple[str, ...], int]]) -> str | None:

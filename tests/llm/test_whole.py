@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgermill.llm import ann, secret_scan
+from ledgermill.llm import ann, html_extract, secret_scan
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +58,25 @@ def test_visits_never_stop_short_of_their_mass(monkeypatch):
     monkeypatch.setattr(ann, "MAX_PROBES", 2)
     short = ann.Hashes(16, 8, 2, 2.5, 1.2)
     assert short.visits(np.ones(16), 0, 0.859) == [] and 1 <= len(short.visits(np.ones(16), 0, 1e-6)) <= 2
+
+
+SIDE = '<div class="sidebar">Popular things.</div>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="content-sidebar-wrap"><main><p>The text, in full.</p></main>{SIDE}</div>',
+        f'<div class="container has-sidebar"><article><p>The text, in full.</p></article>{SIDE}</div>',
+        f'<div class="page with-banner"><div><p>The text, in full.</p></div>{SIDE}</div>',
+        f'<div class="ad">{"Buy this now. " * 20}</div><article><p>The text, in full.</p></article>',
+        f'<main><article><p>The text, in full.</p><section id="comments"><article>Nice.</article></section></article></main>{SIDE}',
+    ],
+)
+def test_wrappers_named_like_noise_keep_the_article(page):
+    assert html_extract.extract(html_extract.blocks(f"<html><body>{page}</body></html>"), None) == "The text, in full."
+
+
+def test_hidden_is_an_attribute_not_a_word():
+    page = '<article><p title="The hidden valley">See <a href="/hidden-lake">the lake</a> and <a href=/hidden>more</a>.</p><p hidden>no</p><p aria-hidden="true">no</p></article>'
+    assert html_extract.extract(html_extract.blocks(page), None) == "See the lake and more."
