@@ -2,7 +2,9 @@
 
 First every page scores its containers by the text that lies in them (less what
 is link text, more for telling tags, less for telling classes) and names the
-best one by its path of tags and classes, with digits made general. Spark
+best one by its path of tags and classes, with digits made general: from the
+best container to the outermost one around it that adds text without noise
+(all of an <article>; else prose, and headings before it). Spark
 counts the votes per host and path. Then every page is extracted from the
 containers on its host's winning path; a page that has none, or no text there,
 falls back to its own best container.
@@ -53,6 +55,7 @@ NOISE = re.compile(
 )
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|comment-list|respond|replies|disqus)(?:$|[\s_\d-])", re.I)
 GOOD = re.compile(r"article|content|main|post|entry|story|body|text", re.I)
+SENTENCE = re.compile(r"[.!?\u2026][\"'\u201d\u2019\u00bb)]*\Z")
 SEPARATOR = "\n"
 
 
@@ -213,7 +216,30 @@ def best_path(found: list[tuple[str, tuple[str, ...], int]]) -> str | None:
     for path in score:
         tag, _, classes = path.rpartition(">")[2].partition(".")
         score[path] *= (1.6 if tag in {"article", "main"} else 0.6 if tag == "body" else 1.0) * (1.2 if GOOD.search(classes) else 1.0)
-    return max(score, key=lambda p: (score[p], -len(p), p), default=None)
+    best = max(score, key=lambda p: (score[p], -len(p), p), default=None)
+    return best and _climbed(found, best)
+
+
+def _prose(text: str, linked: int) -> bool:
+    return 3 * linked <= len(text) and len(text) >= 40 and bool(SENTENCE.search(text))
+
+
+def _climbed(found: list[tuple[str, tuple[str, ...], int]], path: str) -> str:
+    """The outermost container around path up to which only the article's own text is added."""
+    chain = next(c for _, c, _ in found if path in c)
+    around, result = chain[: chain.index(path)], path
+    whole = [k for k, p in enumerate(around) if p.rpartition(">")[2].partition(".")[0] == "article"]
+    if whole:  # noise inside an article is out already
+        result, around = around[whole[0]], around[: whole[0]]
+    for outer in reversed(around):
+        tag = outer.rpartition(">")[2].partition(".")[0]
+        first = next(k for k, b in enumerate(found) if result in b[1])
+        added = [(k, b) for k, b in enumerate(found) if outer in b[1] and result not in b[1]]
+        if not all(_prose(t, n) or k < first and tag != "body" and 3 * n <= len(t) for k, (t, _, n) in added):
+            break
+        if added:
+            result = outer
+    return result
 
 
 def extract(found: list[tuple[str, tuple[str, ...], int]], winner: str | None) -> str:

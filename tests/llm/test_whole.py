@@ -80,3 +80,19 @@ def test_wrappers_named_like_noise_keep_the_article(page):
 def test_hidden_is_an_attribute_not_a_word():
     page = '<article><p title="The hidden valley">See <a href="/hidden-lake">the lake</a> and <a href=/hidden>more</a>.</p><p hidden>no</p><p aria-hidden="true">no</p></article>'
     assert html_extract.extract(html_extract.blocks(page), None) == "See the lake and more."
+
+
+LEAD, TEXT = "A lead that says in short what follows below. " * 4, "The text goes on, and says it all at length. " * 40
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="post"><div class="lead">{0}</div><div class="text">{1}</div></div><div class="x"><a href="/a">More of it</a></div>',
+        '<article><p>{0}</p><div class="entry-content">{1}</div></article><div>All rights reserved</div>',
+        '<div id="page"><div class="post"><h1>{0}</h1><div class="text">{1}</div></div><div><a href="/a">One</a> <a href="/b">Two</a></div></div>',
+    ],
+)
+def test_the_article_is_more_than_its_biggest_part(page):
+    found = html_extract.blocks(f"<html><body>{page.format(LEAD, TEXT)}</body></html>")
+    assert html_extract.extract(found, html_extract.best_path(found)) == f"{LEAD.strip()}\n{TEXT.strip()}"
