@@ -96,3 +96,13 @@ LEAD, TEXT = "A lead that says in short what follows below. " * 4, "The text goe
 def test_the_article_is_more_than_its_biggest_part(page):
     found = html_extract.blocks(f"<html><body>{page.format(LEAD, TEXT)}</body></html>")
     assert html_extract.extract(found, html_extract.best_path(found)) == f"{LEAD.strip()}\n{TEXT.strip()}"
+
+
+def test_every_run_is_a_candidate(net):
+    r = random.Random(6)
+    key = "".join(r.choice(string.ascii_letters) for _ in range(24))
+    text = f"v1.{'0a' * 20}.{key} and {key}"
+    base = secret_scan.base_spans(text)
+    assert [text[s:e] for s, e in secret_scan.candidates(text, base)] == ["." + key, key]
+    assert key not in secret_scan.redacted_text(text, secret_scan.scan(text, net))
+    assert not secret_scan.scan("Donaudampfschifffahrtsgesellschaft and state-of-the-art-technology ---------------------", net)
