@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -35,21 +34,32 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, free: bool = False) -> DataFrame:
+def stored(df: DataFrame, *then: DataFrame) -> DataFrame:
     """df, written once as a table in the shared folder and read again: its lineage is cut, so that lost executors cost no recomputation.
 
-    free: the shuffle files behind it, which nothing needs any more, go now and not at the driver's next collection of garbage.
+    then: stored tables that nothing needs once df is written; they go at once, all others at the session's end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgermill-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    for old in then:
+        for place in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+            if "/ledgermill-" in place:
+                _remove(spark, place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
+    """df, shuffled by its keys once and stored as a table of so many buckets: joins by the keys need no further shuffle of it. Lineage is cut as by stored."""
+    spark = df.sparkSession
+    name = f"ledgermill_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ledgermill-{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, *keys).saveAsTable(name)
+    atexit.register(_remove, spark, path)
+    return spark.table(name)
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it is counted to have at most `rows` rows; else df as it is, to be joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,14 +2,18 @@
 
 The induction goes bucket by bucket: whatever the suffixes of one bucket induce
 is placed in one step, since it lands in buckets still to come; suffixes that
-land in the bucket itself (runs of one character) are the next step's. So a text
-over a small alphabet takes a few steps per character, each linear.
+land in the bucket itself (runs of one character, of any length) are placed in
+one step before. So a text takes two steps per character of its alphabet, each
+linear.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Strings are compared together up to so many characters, the longer ones then one by one.
+NEAR = 256
+
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (S). The last character is the least and occurs once."""
@@ -18,6 +22,18 @@ def _types(s: np.ndarray) -> np.ndarray:
     return np.repeat(smaller, np.diff(np.r_[-1, ends]))
 
 
+def _chained(suffixes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """What suffixes of one bucket induce within it: of each, the `before` equal characters to its left, nearest first, and in the order of the suffixes among equally near ones."""
+    r = before[suffixes]
+    total = int(r.sum())
+    if not total:
+        return suffixes[:0]
+    which = np.repeat(np.arange(len(r)), r)
+    step = np.arange(1, total + 1) - np.repeat(np.cumsum(r) - r, r)
+    o = np.argsort(step, kind="stable")
+    return (suffixes[which[o]] - step[o]).astype(suffixes.dtype)
+
+
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The order of all suffixes that follows from the given order of the leftmost S suffixes. size: of each character's bucket."""
     n, k = len(s), len(size)
@@ -25,6 +41,9 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: np.ndarray)
     end = np.cumsum(size)
     begin = end - size
     larges = np.bincount(s[~small], minlength=k)
+    starts = np.r_[True, s[1:] != s[:-1]]
+    at = np.arange(n, dtype=np.int32)
+    before = at - np.maximum.accumulate(np.where(starts, at, 0))  # equal characters to the left
     # The leftmost S suffixes go to the ends of their buckets, in order.
     c = s[lms]
     given = np.bincount(c, minlength=k)
@@ -33,51 +52,33 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: np.ndarray)
     sa[end[c[order]] - given[c[order]] + (np.arange(len(lms)) - first[c[order]])] = lms[order]
     used = np.flatnonzero(size)
     head = begin.copy()
-
-    def spread(suffixes: np.ndarray, kind: bool) -> tuple | None:
-        """The suffixes one to the left that are of this kind, in bucket order, their buckets, their places there and the buckets' counts."""
-        p = suffixes[suffixes > 0] - 1
-        p = p[small[p] == kind]
-        if not len(p):
-            return None
-        c = s[p]
-        o = np.argsort(c, kind="stable")
-        c = c[o]
-        count = np.bincount(c, minlength=k)
-        place = np.arange(len(c)) - (np.cumsum(count) - count)[c]
-        return p[o], c, place, count
-
     for x in used:
-        at = begin[x]
-        while at < head[x]:
-            stop = head[x]
-            got = spread(sa[at:stop], False)
-            at = stop
-            if got:
-                p, c, place, count = got
-                sa[head[c] + place] = p
-                head += count
-        if given[x] and (got := spread(sa[end[x] - given[x] : end[x]], False)):
-            p, c, place, count = got
-            sa[head[c] + place] = p
+        more = _chained(sa[begin[x] : head[x]], before)
+        sa[head[x] : head[x] + len(more)] = more
+        head[x] += len(more)
+        p = np.concatenate([sa[begin[x] : head[x]], sa[end[x] - given[x] : end[x]]])
+        p = p[p > 0] - 1
+        p = p[s[p] > x]
+        if len(p):
+            c = s[p]
+            o = np.argsort(c, kind="stable")
+            c, count = c[o], np.bincount(c, minlength=k)
+            sa[head[c] + np.arange(len(c)) - (np.cumsum(count) - count)[c]] = p[o]
             head += count
-    tail_at = end.copy()
+    tail = end.copy()
     for x in used[::-1]:
-        sa_s = begin[x] + larges[x]
-        sa[sa_s : tail_at[x]] = -1  # what stood there was the given order
-        at = end[x]
-        while at > tail_at[x]:
-            stop = tail_at[x]
-            got = spread(sa[stop:at][::-1], True)
-            at = stop
-            if got:
-                p, c, place, count = got
-                sa[tail_at[c] - 1 - place] = p
-                tail_at -= count
-        if larges[x] and (got := spread(sa[begin[x] : sa_s][::-1], True)):
-            p, c, place, count = got
-            sa[tail_at[c] - 1 - place] = p
-            tail_at -= count
+        more = _chained(sa[tail[x] : end[x]][::-1], before)
+        sa[tail[x] - len(more) : tail[x]] = more[::-1]
+        tail[x] -= len(more)
+        p = np.concatenate([sa[tail[x] : end[x]][::-1], sa[begin[x] : begin[x] + larges[x]][::-1]])
+        p = p[p > 0] - 1
+        p = p[s[p] < x]
+        if len(p):
+            c = s[p]
+            o = np.argsort(c, kind="stable")
+            c, count = c[o], np.bincount(c, minlength=k)
+            sa[tail[c] - 1 - (np.arange(len(c)) - (np.cumsum(count) - count)[c])] = p[o]
+            tail -= count
     sa[0] = n - 1  # nothing induces the last character
     return sa
 
@@ -133,12 +134,14 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         a, b = ordered[:-1], ordered[1:]
         same = length[a] == length[b]
         at, k = np.flatnonzero(same), 0
-        while len(at):
+        while len(at) and k < NEAR:
             x, y = a[at], b[at]
             equal = s[x + k] == s[y + k]
             same[at[~equal]] = False
             k += 1
             at = at[equal & (length[x] > k)]
+        for i, x, y in zip(at.tolist(), a[at].tolist(), b[at].tolist(), strict=True):
+            same[i] = s[x : x + length[x]].tobytes() == s[y : y + length[x]].tobytes()
         name = np.zeros(n, np.int64)
         name[ordered] = np.cumsum(np.r_[0, ~same])
         names = name[lms]
@@ -146,6 +149,19 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return _induce(s, small, lms.astype(np.int32), size)[1:]
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common prefix, by ever longer pieces."""
+    n, at, piece = min(len(a), len(b)), 0, NEAR
+    while at < n:
+        x, y = a[at : min(n, at + piece)], b[at : min(n, at + piece)]
+        differ = x != y
+        if differ.any():
+            return at + int(differ.argmax())
+        at += len(x)
+        piece *= 2
+    return n
+
+
 def permuted_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """For each position, the length of its suffix's common prefix with the suffix before it in order (0 for the first).
 
@@ -162,12 +178,14 @@ def permuted_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     start = start[before[start] >= 0]
     out = np.zeros(n, np.int64)
     active, k = start, 0
-    while len(active):
+    while len(active) and k < NEAR:
         i, j = active + k, before[active] + k
         ok = (i < n) & (j < n)
         ok[ok] = text[i[ok]] == text[j[ok]]
         active = active[ok]
         k += 1
         out[active] = k
+    for i in active.tolist():
+        out[i] = k + _common(text[i + k :], text[before[i] + k :])
     own = np.maximum.accumulate(np.where(inner, -1, at))
     return np.maximum(out[own] - (at - own), 0)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import string
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgermill.llm import ann, html_extract, secret_scan
+from ledgermill.llm import ann, html_extract, secret_scan, suffix_dedup
 
 
 @pytest.fixture(scope="module")
@@ -106,3 +108,16 @@ def test_every_run_is_a_candidate(net):
     assert [text[s:e] for s, e in secret_scan.candidates(text, base)] == ["." + key, key]
     assert key not in secret_scan.redacted_text(text, secret_scan.scan(text, net))
     assert not secret_scan.scan("Donaudampfschifffahrtsgesellschaft and state-of-the-art-technology ---------------------", net)
+
+
+def test_long_runs_of_one_byte(spark):
+    """Two documents of 200,000 equal bytes, and one that holds the run between other text, take seconds and few segments."""
+    run = "a" * 200_000
+    head, tail = "".join(chr(97 + i % 7) + str(i) for i in range(40)), "".join(chr(110 + i % 5) + str(i) for i in range(40))
+    rows = [(1, run), (2, run + "a"), (3, head + run + tail), (4, "b" * 60), (5, "ab" * 100_000), (6, "ba" * 100_000)]
+    assert len(suffix_dedup.anchors(np.frombuffer(run.encode(), np.uint8))[0]) == 1
+    began = time.time()
+    got = {x.doc_id: x for x in suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert [got[i].n_removed for i in range(1, 7)] == [0, 200_001, 200_000, 0, 0, 200_000]
+    assert got[3].kept_sha256 == hashlib.sha256((head + tail).encode()).hexdigest()
