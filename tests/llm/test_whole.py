@@ -35,6 +35,82 @@ def test_secret_at_the_end_of_a_long_run(net):
     assert [e for _, e in secret_scan.windows(0, 100)][-1] == 100 and secret_scan.windows(3, 51) == [(3, 51)]
 
 
+def test_planted_secrets_that_no_pattern_finds(spark):
+    """Over documents with planted keys of three shapes: nearly all are learned spans, clean documents have none, base columns are what the patterns give."""
+    r = random.Random(8)
+    words = "the report of this year says that many people in town have read it with some care".split()
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    alnum = string.ascii_letters + string.digits
+    shapes = [lambda: some(alnum, 32), lambda: "ghp_" + some(alnum, 36), lambda: some(alnum + "+/", 43) + "="]
+    plain = ["Donaudampfschifffahrtsgesellschaft", "4845168114407329", "state-of-the-art-technology", "www.example.com/help/articles/42", "2026-01-05T10.00.00", "internationalisation"]
+    rows, planted = [], {}
+    for i in range(600):
+        text = " ".join(r.choice(words) for _ in range(40))
+        extra = r.choice(plain)
+        if i % 3 == 0:
+            extra = planted[i] = shapes[i // 3 % 3]()
+        elif i % 3 == 1:
+            extra += ' token = "' + some("0123456789abcdef", 40) + '"'
+        rows.append((i, f"{text} {extra} {text}"))
+    rows += [(600, None), (601, "x" * 300_000), (602, "")]
+    got = {x.doc_id: x for x in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum(any(k == "learned" and key in rows[i][1][int(s) : int(e)] for k, s, e in (x.split(":") for x in got[i].spans.split(",") if x)) for i, key in planted.items())
+    assert hit >= 0.95 * len(planted)
+    alarms = sum(got[i].n_learned for i in range(600) if i % 3)
+    assert alarms <= 0.02 * 400
+    for i, text in rows:
+        base = secret_scan.base_spans(text or "")
+        assert got[i].base_sha256 == hashlib.sha256(secret_scan.written(base).encode()).hexdigest() and got[i].n_assign == sum(k == 0 for _, k, _ in base)
+
+
+def test_base_spans_by_plain_search():
+    """The patterns against a character-by-character reading."""
+
+    def plain(text):
+        key, out = set(string.ascii_letters + string.digits + "+/_.=-"), []
+        i, n = 0, len(text)
+        while i < n:  # assignments
+            name = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[i : i + len(w)].lower() == w and text[i : i + len(w)].isascii()), None)
+            j = i + len(name or "")
+            if name:
+                j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] in (":", "=") and text[j : j + 1]:
+                    j += 1
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
+                    k = j
+                    while k < n and text[k] in key:
+                        k += 1
+                    if k > j:
+                        if k - j >= 6:
+                            out.append((i, 0, k))
+                        i = k
+                        continue
+            i += 1
+        for kind, chars, head, least in ((1, string.ascii_uppercase + string.digits, "AKIA", 20), (2, "0123456789abcdef", "", 24)):
+            i = 0
+            while i < n:
+                if text.startswith(head, i) and i + len(head) < n and text[i + len(head)] in chars:
+                    k = i + len(head)
+                    while k < n and text[k] in chars:
+                        k += 1
+                    if k - i >= least:
+                        out.append((i, kind, k))
+                    i = k
+                else:
+                    i += 1
+        return sorted(out)
+
+    r = random.Random(12)
+    parts = ["password", "PassWd", "secret", "Token", "api_key", "apikey", "=", ":", " ", "  ", '"', "'", "AKIA", "AKIAAKIA", "ABCDEFGHIJ0123456789", "0af3", "0123456789abcdef0123456789", "é", "x", "-", "\n", "\t", "abcdef"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(1, 14)))
+        assert secret_scan.base_spans(text) == plain(text), text
+
+
 def test_windows_cover_a_run():
     for n in range(1, 200):
         assert set().union(*(range(s, e) for s, e in secret_scan.windows(7, 7 + n))) == set(range(7, 7 + n))
