@@ -5,24 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermill.llm.common import stored
+from ledgermill.llm.common import BROADCAST_ROWS, stored
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node with over this share of all links is hot: there can't be more than BROADCAST_ROWS such nodes.
+HOT_SHARE = 2 / BROADCAST_ROWS
+
+
+def _with_least(edges: DataFrame, least: DataFrame, links: int) -> DataFrame:
+    """edges with `m`, the least of `u`, from least (u, m, n). Links of hot nodes stay where they are: their few rows of least are broadcast."""
+    hot = F.col("n") > max(1000, HOT_SHARE * links)
+    few = F.broadcast(least.where(hot).select("u", F.col("m").alias("hot_m")))
+    there = edges.join(few, "u", "left")
+    rest = there.where("hot_m is null").select("u", "v").join(least.where(~hot).select("u", "m"), "u")
+    return there.where("hot_m is not null").select("u", "v", F.col("hot_m").alias("m")).unionByName(rest)
+
+
+def _large_star(edges: DataFrame, links: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour (or itself)."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    least = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
+    return _with_least(both, least, links).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, links: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the least of them. edges: u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    moved = _with_least(edges, least, links).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
@@ -32,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges)
     before = _state(edges)
     while True:
-        edges = stored(_small_star(_large_star(edges)))
+        larger = stored(_large_star(edges, before[0]))
+        edges = stored(_small_star(larger, before[0] * 2), larger, edges)
         after = _state(edges)
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

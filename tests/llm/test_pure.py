@@ -115,7 +115,7 @@ def test_jaccard_links_equal_brute_force():
 def test_shingles_of_short_and_empty_texts():
     assert len(ngram_join.shingles(None)) == len(ngram_join.shingles(" \n")) == 0
     assert len(ngram_join.shingles("a b")) == len(ngram_join.shingles("a b c d e")) == 1
-    assert 1 - (1 - 0.8 ** ngram_join.prefix_length()) ** ngram_join.TREES >= ngram_join.RECALL
+    assert 1 - (1 - 0.8**ngram_join.FLOOR) ** ngram_join.TREES >= ngram_join.RECALL
 
 
 def test_anchors_cover_every_string():

@@ -151,6 +151,26 @@ def test_near_duplicates(spark, docs, empty, monkeypatch):
     assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.one_of_each(empty).count() == 0
 
 
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark):
+    """Whatever the number of tries that match: the chance to miss a pair at the threshold stays under the target, and a trie fewer at the last level would not do; the smallest nodes are shortened."""
+    rows = [(m, 100 * m + t, 7, 2 + (t * 5) % 11) for m in (1, 3, 11, 20, 32) for t in range(m)]
+    got = ngram_join.levels(spark.createDataFrame(rows, "rep long, node long, rest int, size long"), 0.8, ngram_join.RECALL).collect()
+    size = {(r, n): s for r, n, _, s in rows}
+    for m in (1, 3, 11, 20, 32):
+        mine = sorted((x.level, size[m, x.node]) for x in got if x.rep == m)
+        free = (1 - 0.8**ngram_join.FLOOR) ** (ngram_join.TREES - m)
+        missed = free * np.prod([1 - 0.8**level for level, _ in mine])
+        assert len(mine) == m and missed <= (1 - ngram_join.RECALL) * (1 + 1e-9)
+        low = [k for k, x in enumerate(mine) if x[0] < ngram_join.DEPTH]
+        if low:
+            level = mine[0][0]
+            longer = [level + 1 if k == 0 else x[0] for k, x in enumerate(mine)]
+            assert free * np.prod([1 - 0.8**x for x in longer]) > (1 - ngram_join.RECALL) * (1 - 1e-9)
+        levels = sorted({x[0] for x in mine})
+        assert len(levels) == 1 or len(levels) == 2 and max(s for x, s in mine if x == levels[0]) <= min(s for x, s in mine if x == levels[1])
+    assert len({x.level for x in got}) > 2
+
+
 def _plain_dedup(rows):
     by = {}
     for i, t in rows:
