@@ -1,16 +1,19 @@
 """Quality rules with risk-controlled thresholds, as DataFrame expressions only.
 
 Each rule scores a text; a text is rejected if a score is above the rule's
-cutoff for the text's stratum (its language). The cutoffs come from labelled
-holdouts: for a stratum and a rule, the cutoffs are tested from the most
-lenient to the strictest. The test of a cutoff asks whether the share of good
-texts above it is over `alpha / number of rules`; it is an exact binomial test
-(the Clopper-Pearson bound) at level `delta / (strata * rules)`. Testing stops
-at the first cutoff that fails, so a fixed sequence needs no further
-correction within a rule, and the division by strata and rules corrects for
-the rest: with probability 1 - delta, no stratum loses more than the share
-alpha of its good texts to the rules. A rule without a certified cutoff in a
-stratum rejects nothing there.
+cutoff for the text's stratum (its language). All rules' cutoffs are tightened
+together, in STEPS fixed steps from ones that hardly a text fails to ones that
+most texts fail. In each stratum the steps are tested in this order on labelled
+holdouts: may the share of good texts that any rule rejects at this step be over
+`alpha`? The test is an exact binomial one (the Clopper-Pearson bound) at level
+`delta / strata`. Testing stops at the first step that fails; a fixed sequence
+needs no further correction within a stratum, and the division by the number of
+strata corrects for the rest: with probability 1 - delta, no stratum loses more
+than the share alpha of its good texts to the rules, at any step certified. Of
+these the first is taken that rejects as many labelled bad texts as the last, so
+that good texts aren't lost for nothing. Without a certified step (a
+stratum of under log(delta / strata) / log(1 - alpha) good texts, 174 with the
+defaults and four strata, has none) the rules reject nothing there.
 
 Defined cases: null text counts as empty; null language is a stratum of its
 own; labels that repeat for a document count once (the worst quality), null
@@ -30,16 +33,17 @@ from ledgermill.llm.common import BROADCAST_ROWS, bounded, fresh, let, stored
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
-#: Cutoffs by rule, most lenient first. mean_word_short is negated, so that larger is worse for all.
+STEPS = 60
+#: Cutoffs by rule and step. mean_word_short is negated, so that larger is worse for all.
 CUTOFFS = {
-    "symbol_ratio": [0.50, 0.40, 0.30, 0.20, 0.15, 0.10, 0.08, 0.06, 0.04, 0.02],
-    "exclaim_ratio": [0.50, 0.40, 0.30, 0.20, 0.15, 0.10, 0.08, 0.06, 0.04, 0.02],
-    "dup_line_ratio": [0.90, 0.80, 0.70, 0.60, 0.50, 0.40, 0.30, 0.25, 0.20],
-    "repeat_ratio": [0.28, 0.26, 0.24, 0.22, 0.20, 0.18, 0.16, 0.14, 0.12, 0.10],
-    "mean_word_long": [12.0, 11.0, 10.0, 9.5, 9.0, 8.5, 8.0, 7.5, 7.0],
-    "mean_word_short": [-1.5, -2.0, -2.5, -3.0, -3.25, -3.5, -3.75, -4.0],
+    "symbol_ratio": [round(0.5 * 0.9**i, 5) for i in range(STEPS)],
+    "exclaim_ratio": [round(0.5 * 0.9**i, 5) for i in range(STEPS)],
+    "dup_line_ratio": [round(0.9 * 0.95**i, 5) for i in range(STEPS)],
+    "repeat_ratio": [round(0.29 * 0.95**i, 5) for i in range(STEPS)],
+    "mean_word_long": [round(12 - 0.1 * i, 5) for i in range(STEPS)],
+    "mean_word_short": [round(-1.5 - 0.05 * i, 5) for i in range(STEPS)],
 }
-ALPHA, DELTA = 0.06, 0.05
+ALPHA, DELTA = 0.025, 0.05
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -133,21 +137,21 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def thresholds(features: DataFrame, labels: DataFrame, stratum: str, cutoffs: dict = CUTOFFS, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum with labels: `stratum` and a map from rule to certified cutoff. features: doc_id, the stratum and `c` (see counts)."""
     worst = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    good = worst.where("quality >= 1").join(features.select("doc_id", stratum, "c"), "doc_id").where(~base_failed(F.col("c")))
+    seen = worst.join(features.select("doc_id", stratum, "c"), "doc_id").where(~base_failed(F.col("c")))
     score = scores(F.col("c"))
-    above = [F.array(*[F.sum((score[r] > x).cast("long")) for x in xs]).alias(r) for r, xs in cutoffs.items()]
-    table = good.groupBy(stratum).agg(F.count("*").alias("n"), *above)
-    p, strata = alpha / len(cutoffs), F.count("*").over(_whole())
-    level = F.lit(delta / len(cutoffs)) / F.col("strata")
-    table = table.withColumn("strata", strata)
-
-    def certified(rule: str, xs: list[float]) -> Column:
-        """The last cutoff before the first that fails; null if the first fails."""
-        passes = F.transform(F.col(rule), lambda k: F.when(k >= F.col("n") * p, F.lit(False)).otherwise(binomial_tail(k, F.col("n"), p) <= level))
-        first = let(passes, lambda y: F.array_position(F.concat(y, F.array(F.lit(False))), F.lit(False)).cast("int"))
-        return F.get(F.array(F.lit(None).cast("double"), *map(F.lit, xs)), first - 1)
-
-    pairs = [x for r, xs in cutoffs.items() for x in (F.lit(r), certified(r, xs))]
+    steps = len(next(iter(cutoffs.values())))
+    # The step from which on some rule rejects the text: cutoffs fall, so it is the number of those that the score isn't above.
+    reached = lambda value, xs: F.size(F.filter(F.array(*map(F.lit, xs)), lambda x: x >= value))
+    first = F.least(*[reached(score[r], xs) for r, xs in cutoffs.items()])
+    good = F.col("quality") >= 1
+    by_step = lambda which: F.array(*[F.sum((which & (F.col("first") <= i)).cast("long")) for i in range(steps)])
+    table = seen.select(stratum, "quality", first.alias("first")).groupBy(stratum).agg(F.sum(good.cast("long")).alias("n"), by_step(good).alias("rejected"), by_step(~good).alias("bad")).where("n > 0")
+    level = F.lit(delta) / F.count("*").over(_whole())
+    table = table.withColumn("level", level)
+    passes = F.transform("rejected", lambda k: F.when(k >= F.col("n") * alpha, F.lit(False)).otherwise(binomial_tail(k, F.col("n"), alpha) <= F.col("level")))
+    last = let(passes, lambda y: F.array_position(F.concat(y, F.array(F.lit(False))), F.lit(False)).cast("int")) - 2  # the one before the first that fails
+    table = table.withColumn("last", last).withColumn("step", F.when(F.col("last") >= 0, F.array_position("bad", F.get("bad", F.col("last"))).cast("int") - 1))
+    pairs = [x for r, xs in cutoffs.items() for x in (F.lit(r), F.when(F.col("step") >= 0, F.get(F.array(*map(F.lit, xs)), F.col("step"))))]
     return table.select(stratum, F.create_map(*pairs).alias("cutoffs"))
 
 

@@ -26,7 +26,6 @@ _SCORE = {
     "mean_word_long": "CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END",
     "mean_word_short": "-CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END",
 }
-_P = ALPHA / len(CUTOFFS)
 _GRID = ", ".join(f"('{r}', {i}, CAST({x} AS DOUBLE))" for r, xs in CUTOFFS.items() for i, x in enumerate(xs))
 _LONG = " UNION ALL ".join(f"SELECT rid, stratum, '{r}' AS rule, CAST({e} AS DOUBLE) AS score FROM f" for r, e in _SCORE.items())
 
@@ -40,13 +39,14 @@ f AS (SELECT rid, doc_id, stratum, len(w) AS n_words, length(array_to_string(w,
   coalesce(rep.n, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(text, '[^!?]', '', 'g')) AS n_exclaims FROM t JOIN w USING (rid) LEFT JOIN rep USING (rid)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
 s AS ({_LONG}),
-good AS (SELECT rid FROM b JOIN (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY 1) USING (doc_id) WHERE q >= 1 AND NOT base_failed),
+seen AS (SELECT rid, q >= 1 AS good FROM b JOIN (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY 1) USING (doc_id) WHERE NOT base_failed),
 grid AS (SELECT * FROM (VALUES {_GRID}) v(rule, i, cut)),
-k AS (SELECT stratum, rule, i, cut, count(*) AS n, count(*) FILTER (score > cut) AS k FROM s JOIN good USING (rid) JOIN grid USING (rule) GROUP BY ALL),
+k AS (SELECT * FROM (SELECT stratum, i, count(DISTINCT rid) FILTER (good) AS n, count(DISTINCT rid) FILTER (good AND score > cut) AS k, count(DISTINCT rid) FILTER (NOT good AND score > cut) AS bad FROM s JOIN seen USING (rid) JOIN grid USING (rule) GROUP BY ALL) WHERE n > 0),
 strata AS (SELECT count(DISTINCT stratum) AS m FROM k),
-tail AS (SELECT stratum, rule, i, cut, k < n * {_P} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_P}) + (n - j) * ln(1 - {_P}))) FROM range(0, CAST(least(k, n * {_P}) AS BIGINT) + 1) AS x(j)) <= {DELTA / len(CUTOFFS)} / m AS passes FROM k, strata),
-fails AS (SELECT stratum, rule, coalesce(min(i) FILTER (NOT passes), 999) AS first FROM tail GROUP BY 1, 2),
-cuts AS (SELECT stratum, rule, min(cut) AS cut FROM tail JOIN fails USING (stratum, rule) WHERE i < first GROUP BY 1, 2),
+tail AS (SELECT stratum, i, bad, k < n * {ALPHA} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA}))) FROM range(0, CAST(least(k, n * {ALPHA}) AS BIGINT) + 1) AS x(j)) <= {DELTA} / m AS passes FROM k, strata),
+fails AS (SELECT stratum, coalesce(min(i) FILTER (NOT passes), 999) AS first FROM tail GROUP BY 1),
+steps AS (SELECT stratum, min(i) AS i FROM tail JOIN (SELECT stratum, max(bad) AS bad FROM tail JOIN fails USING (stratum) WHERE i < first GROUP BY 1) USING (stratum, bad) GROUP BY 1),
+cuts AS (SELECT stratum, rule, cut FROM steps JOIN grid USING (i)),
 fired AS (SELECT DISTINCT rid FROM s JOIN cuts USING (stratum, rule) WHERE score > cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fired.rid IS NULL AS kept FROM b LEFT JOIN fired USING (rid)
 """
