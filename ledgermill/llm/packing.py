@@ -174,14 +174,17 @@ def best_fit(histogram: Iterable[tuple[int, int]], capacity: int = CAPACITY) ->
     return runs, opened
 
 
-def _ranked(rows: DataFrame, total: int) -> DataFrame:
-    """rows with `rank`: gapless numbers from 0 among pieces of one length; common lengths are numbered in parts."""
-    parts = max(1, math.ceil(total / RANK_ROWS))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
+def _ranked(rows: DataFrame, histogram: list[tuple[int, int]]) -> DataFrame:
+    """rows with `rank`: gapless numbers from 0 among pieces of one length; a length is numbered in as many parts as its own count needs."""
+    many = {n: math.ceil(count / RANK_ROWS) for n, count in histogram if count > RANK_ROWS}
+    parts = F.lit(1)
+    if many:
+        parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in many.items() for x in pair]), F.col("length")), parts)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), parts).cast("int"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
-    return rows.withColumn("place", F.row_number().over(inside)).join(bounded(starts, BROADCAST_ROWS), ["length", "part"]).withColumn("rank", (F.col("first") + F.col("place") - 1).cast("long"))
+    return rows.withColumn("place", F.row_number().over(inside)).join(bounded(stored(starts), BROADCAST_ROWS), ["length", "part"]).withColumn("rank", (F.col("first") + F.col("place") - 1).cast("long"))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -204,5 +207,5 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    ranked = _ranked(cut, sum(n for _, n in histogram))
+    ranked = _ranked(cut, histogram)
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")

@@ -15,9 +15,15 @@ keeps the bin that holds the median. The driver sees at most shards * BINS
 sums a pass. The tree becomes one nested CASE expression, so that giving rows
 their shards needs no join.
 
+Copies stay together: the rows of one text stand at the point of the copy with
+the least doc_id, so that no cut parts them, unless together they have over
+SPREAD of a shard's bytes. Such groups (there can't be more than shards / SPREAD)
+stand at their rows' own points and are cut like all else: else shards could
+not be near equal.
+
 Defined cases: null text has no bytes (size 16, checksum 0); null metadata is a
 value like any other; rows that are equal in every column share one point and
-so one shard; with fewer documents than shards some shards stay empty; other
+so one shard; a null doc_id counts as 0; with fewer documents than shards some shards stay empty; other
 columns are not read.
 """
 
@@ -33,6 +39,8 @@ from ledgermill.llm.common import BROADCAST_ROWS, bounded, stored
 
 OVERHEAD = 16
 BINS = 1024
+#: A group of copies of over this share of a shard's bytes is spread.
+SPREAD = 0.01
 #: A median is near enough when it is known to this share of a shard's bytes.
 TOLERANCE = 1e-4
 DIMENSIONS = ("d_lang", "d_source", "d_size", "d_id")
@@ -51,20 +59,37 @@ class Node:
     path: list[tuple[str, bool, float]] = field(default_factory=list)
 
 
-def coordinates(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the row's point."""
+def facts(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, a hash of the text, and the metadata of every row."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    base = docs.select("doc_id", (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source")
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id", "size", "text_crc32"), 11) / F.lit(float(1 << 53))
-    name = lambda c: (F.shiftrightunsigned(F.xxhash64(F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("\x00"))), 44) + unit) / F.lit(float(1 << 20))
-    return base.select(
+    return docs.select("doc_id", (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+
+
+def _at_one_point(rows: DataFrame, total: int, shards: int) -> DataFrame:
+    """rows with `at` (doc_id, lang, source that give the point): a group of copies has its first one's, unless it is over the limit."""
+    key = ["text_hash", "text_crc32", "size"]
+    own = F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "lang", "source")
+    groups = stored(rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min(own).alias("first")).where("n > 1"))
+    big = F.col("bytes") > F.lit(SPREAD * total / shards)
+    # At most shards / SPREAD groups are big; the others can't make a hot key.
+    marked = rows.join(F.broadcast(groups.where(big).select(*key, F.lit(True).alias("big"))), key, "left")
+    few = bounded(groups.where(~big).select(*key, "first"), BROADCAST_ROWS)
+    alone = marked.where("big").select(*rows.columns, own.alias("at"))
+    return alone.unionByName(marked.where("big is null").join(few, key, "left").select(*rows.columns, F.coalesce("first", own).alias("at")))
+
+
+def coordinates(rows: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32 and the point of each of rows (see facts and _at_one_point)."""
+    unit = F.shiftrightunsigned(F.xxhash64("at.id", "size", "text_hash"), 11) / F.lit(float(1 << 53))
+    name = lambda c: (F.shiftrightunsigned(F.xxhash64(F.lit(c), F.coalesce(f"at.{c}", F.lit("\x00"))), 44) + unit) / F.lit(float(1 << 20))
+    return rows.select(
         "doc_id",
         "size",
         "text_crc32",
         name("lang").alias("d_lang"),
         name("source").alias("d_source"),
         F.log2(F.col("size") + unit).alias("d_size"),
-        (F.coalesce(F.col("doc_id"), F.lit(0)) + unit).cast("double").alias("d_id"),
+        (F.col("at.id") + unit).cast("double").alias("d_id"),
     )
 
 
@@ -140,7 +165,7 @@ def with_slots(rows: DataFrame, total: int, shards: int, group: str = "shard") -
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int"))
     before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(group, "part").count().select(group, "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    starts = bounded(starts, BROADCAST_ROWS)
+    starts = bounded(stored(starts), BROADCAST_ROWS)
     inside = Window.partitionBy(group, "part").orderBy("doc_id", "text_crc32", "size")
     return rows.withColumn("place", F.row_number().over(inside)).join(starts, [group, "part"]).withColumn("slot", (F.col("start") + F.col("place") - 1).cast("long"))
 
@@ -150,8 +175,9 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: in
 
     Give the number of shards, or the bytes that a shard should have.
     """
-    points = stored(coordinates(docs))
-    rows, total = points.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    known = stored(facts(docs))
+    rows, total = known.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     shards = shards or max(1, math.ceil(total / target_bytes))
+    points = stored(coordinates(_at_one_point(known, total, shards)), known)
     placed = points.select("doc_id", "size", "text_crc32", _shard(tree(points, shards), lambda n: n.first).cast("int").alias("shard"))
     return with_slots(placed, rows, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -107,6 +107,41 @@ def test_sharding(spark, docs, empty):
     assert len(sizes) == 7 and max(sizes) - min(sizes) <= 0.01 * max(sizes)
 
 
+def _plain_tree(rows, shards, target, spread):
+    """Shards by plain recursion over the same points: exact weighted medians along the widest dimension."""
+    widths = [max(p[k] for _, p in rows) - min(p[k] for _, p in rows) or 1.0 for k in range(4)]
+
+    def cut(part, n):
+        if n == 1 or not part:
+            return [part] + [[]] * (n - 1)
+        k = max(range(4), key=lambda k: (max(p[k] for _, p in part) - min(p[k] for _, p in part)) / widths[k])
+        part, goal, under, at = sorted(part, key=lambda r: r[1][k]), sum(s for s, _ in part) * (n // 2) / n, 0, 0
+        while at < len(part) and under + part[at][0] < goal:
+            under, at = under + part[at][0], at + 1
+        return cut(part[:at], n // 2) + cut(part[at:], n - n // 2)
+
+    return cut(rows, shards)
+
+
+def test_shards_against_plain_recursion(spark):
+    """Bytes of the shards are as near as those of exact medians, copies lie together, a group over the limit is spread."""
+    r = random.Random(5)
+    texts = ["x" * r.randrange(50, 150) + str(i) for i in range(3000)]
+    rows = [(i, texts[i - i % 2] if i < 600 else "hot" * 20 if i % 3 == 0 else texts[i], r.choice("abc"), r.choice("de")) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("size", F.lit("clash"))
+    got = sharding.shard_documents(docs, shards=8).collect()
+    bytes_ = {s: sum(x.size for x in got if x.shard == s) for s in range(8)}
+    known = sharding.facts(docs)
+    total = sum(bytes_.values())
+    points = sharding.coordinates(sharding._at_one_point(known, total, 8)).collect()
+    plain = [sum(s for s, _ in p) for p in _plain_tree([(x.size, (x.d_lang, x.d_source, x.d_size, x.d_id)) for x in points], 8, None, None)]
+    assert max(bytes_.values()) - min(bytes_.values()) <= max(plain) - min(plain) + 0.02 * total / 8
+    by = {}
+    for x in got:
+        by.setdefault(rows[x.doc_id][1], set()).add(x.shard)
+    assert all(len(s) == 1 for t, s in by.items() if t != "hot" * 20) and len(by["hot" * 20]) > 1
+
+
 def test_packing(spark, docs, empty):
     path = P.path("word_bpe_49k.json")
     got = packing.pack(docs, path, 256).collect()
@@ -224,11 +259,11 @@ def test_secret_scan(spark, docs, empty):
 def test_language(spark, empty):
     en, de = "the and of to in that is was for with", "der die und das nicht mit für ist von ein"
     r = random.Random(7)
-    rows = [(i, " ".join(r.choice((en if i % 2 else de).split()) for _ in range(r.randrange(8, 60))), "en" if i % 2 else "de") for i in range(400)] + [(500, None, "en"), (501, "12 34", None), (None, en, "en")]
-    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    rows = [(i, " ".join(r.choice((en if i % 2 else de).split()) for _ in range(r.randrange(8, 60))), "en" if i % 2 else "de") for i in range(400)] + [(500, None, "en"), (501, "12 34", None), (None, en, "en"), (502, "²²² ½½ Ⅷ", "en"), (503, "the and of " * 200_000, "en")]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))).collect()
     held = [x for x in got if x.held_out and x.doc_id is not None and x.doc_id < 400]
     assert len(held) > 40 and np.mean([x.lang_pred == ("en" if x.doc_id % 2 else "de") for x in held]) > 0.98
-    assert {x.lang_pred for x in got if x.doc_id in (500, 501)} == {"und"}
+    assert {x.lang_pred for x in got if x.doc_id in (500, 501, 502)} == {"und"}
     assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0) for x in got if x.doc_id is not None)
     assert langid.identify(empty).count() == 0
 
