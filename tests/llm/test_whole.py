@@ -132,6 +132,23 @@ def test_neighbours_where_few_buckets_may_be_visited(spark, monkeypatch, tried):
     assert hits >= 0.97 * 300
 
 
+def test_ties_at_the_tenth_place_and_clustered_vectors(spark):
+    """Of many vectors equally far the smallest vec_ids are taken; in clusters a query reads a small part of the table."""
+    axis = np.eye(16)
+    rows = [(0, [0.5] * 16)] + [(i + 1, (np.array([0.5] * 16) + (1 if i % 2 else -1) * axis[i // 2 % 16]).tolist()) for i in range(96)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [(x.rank, x.vec_id, x.score) for x in sorted(got, key=lambda x: x.rank)] == [(k, k, 1.0) for k in range(1, 11)]
+    g = np.random.default_rng(3)
+    x = g.standard_normal((100, 32))[g.integers(0, 100, 20_000)] + 0.2 * g.standard_normal((20_000, 32))
+    hashes = ann.fit(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>"), len(x), 10)
+    seen = 0
+    for t in range(hashes.tables):
+        keys = hashes.keys(x, t)
+        size = {k: keys.count(k) for k in set(keys)}
+        seen += np.mean([sum(size.get(k, 0) for k in hashes.visits(v, t, ann.mass_of(hashes.tables))) for v in x[:20]])
+    assert seen < 0.25 * len(x)
+
+
 def test_visits_never_stop_short_of_their_mass(monkeypatch):
     monkeypatch.setattr(ann, "MAX_PROBES", 2)
     short = ann.Hashes(16, 8, 2, 2.5, 1.2)
