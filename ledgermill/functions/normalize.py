@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 MONEY = "decimal(18,2)"
 # What scanners read for digits, and the lengths of IBANs by country.
 OCR_LETTERS, OCR_DIGITS = "OQDILZEASGTBP", "0001123456789"
-IBAN_LENGTHS = {"ES": 24, "FR": 27, "DE": 22, "IT": 27, "PT": 25, "NL": 18, "BE": 16, "GB": 22, "IE": 22, "LU": 20}
+IBAN_LENGTHS = {"ES": 24, "FR": 27, "DE": 22, "IT": 27, "PT": 25, "NL": 18, "BE": 16, "GB": 22, "IE": 22, "LU": 20, "CH": 21, "BR": 29, "JP": 23}
 
 
 def cents(x: Column) -> Column:
@@ -53,11 +53,11 @@ def amount_readings(text: Column) -> Column:
 
 
 def order_id(text: Column) -> Column:
-    """PO-YYYY-NNNN, the body padded to four digits; null if there is none."""
+    """PO-YYYY-NNNN from the end of the text without punctuation, the body padded to four digits, a year of three digits as it is; where nothing fits, the text without punctuation."""
     s = F.regexp_replace(F.upper(text), "[^A-Z0-9]", "")
-    a, b = r"^PO([0-9]{4})([0-9]{1,4})$", r"^([0-9]{4})([0-9]{3,4})$"
+    a, b = r"PO([0-9]{3,4})([0-9]{1,4})$", r"([0-9]{4})([0-9]{3,4})$"
     made = lambda p: F.concat(F.lit("PO-"), F.regexp_extract(s, p, 1), F.lit("-"), F.lpad(F.regexp_extract(s, p, 2), 4, "0"))
-    return F.when(s.rlike(a), made(a)).when(s.rlike(b), made(b))
+    return F.when(s.rlike(a), made(a)).when(s.rlike(b), made(b)).otherwise(s)
 
 
 def tax_id(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html as entities
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,36 +32,81 @@ def letter_share(text: Column) -> Column:
 
 
 def quality(text: Column, pages: Column) -> Column:
-    """0 to 1: length a page, junk characters, letters, and whether amounts and telling words occur."""
-    n = F.length(F.trim(text))
-    junk = F.regexp_count(text, F.lit("[�#*$%&|<>]")) / F.greatest(n, F.lit(1))
-    low = F.lower(text)
+    """0 to 1: how much a text layer looks like an invoice. Thin pages get at most a half by their length; others lose by unreadable characters, few letters, no amount and no telling word."""
+    n = F.length(text)
+    each = n / F.greatest(pages, F.lit(1))
+    junk = F.regexp_count(text, F.lit(r"[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]")) / n
+    letters = F.regexp_count(text, F.lit(r"(?U)[\p{L}\p{N}]")) / n
     score = (
-        F.least(n / (200 * F.greatest(pages, F.lit(1))), F.lit(1.0))
-        - F.least(junk * 5, F.lit(0.5))
-        - F.when(letter_share(text) < 0.5, F.lit(0.3)).otherwise(F.lit(0.0))
-        - F.when(~text.rlike("[0-9]+[.,][0-9]{2}"), F.lit(0.2)).otherwise(F.lit(0.0))
-        - F.when(~(low.contains("total") | low.contains("factura") | low.contains("invoice")), F.lit(0.1)).otherwise(F.lit(0.0))
+        (1 - F.least(F.lit(1.0), junk * 20))
+        * F.least(F.lit(1.0), letters / 0.55)
+        * F.when(text.rlike(r"[0-9]{1,3}(?:[.,][0-9]{3})*[.,][0-9]{2}"), F.lit(1.0)).otherwise(F.lit(0.7))
+        * F.when(text.rlike("(?i)factura|invoice|total"), F.lit(1.0)).otherwise(F.lit(0.8))
     )
-    return F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0))
+    return F.when(text.rlike(r"(?U)\S"), F.when(each < 120, F.least(F.lit(0.5), each / 240)).otherwise(score)).otherwise(F.lit(0.0))
+
+
+def plain(text: Column) -> Column:
+    """In small letters, without accents."""
+    return F.translate(F.lower(text), "áéíóúüñçàèìòùâêîôûäëïö", "aeiouuncaeiouaeiouaeio")
+
+
+def _found(text: Column, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.trim(F.substring(F.regexp_replace(x, r"\s+", " "), 1, 80)))
 
 
 def result_orders(text: Column) -> Column:
-    """Passages that dictate a result ("pagar de inmediato", ...), white space as single spaces, at most 80 characters, distinct."""
-    s = F.regexp_replace(F.lower(text), r"\s+", " ")
-    found = F.regexp_extract_all(s, F.lit(r"((?:approve|aprobar|pagar|pay)[ ](?:this invoice|immediately|de inmediato|esta factura)[^.]{0,60})"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda x: F.substring(F.trim(x), 1, 80)))
+    """Passages that dictate the result to the system ("registrar como pagar", "bloquear el pago", ...): by kind, white space as single spaces, at most 80 characters, distinct."""
+    s = plain(text)
+    kinds = [r"\bregistr\w*\s+(?:la\s+decision\s+|el\s+resultado\s+)?como\s+(?:pagar|escalar|no[\s_]?pagar)\b", r"\bbloque\w*\s+el\s+pago\b", r"\bpuedes\s+pagar\s+con\s+seguridad\b"]  # fixed values
+    return F.array_distinct(F.flatten(F.array(*[_found(s, k) for k in kinds])))
+
+
+# Phrases that address the system, and the verbs and objects of an order to it.
+INSTRUCTIONS = [
+    "no figurara en el maestro", "aunque no figure", "procedase al alta", "datos aqui aportados", "datos bancarios de este documento", "complete el pago", "continuese", "procedase",
+    "no procede contrastarlo", "no debe recalcularse", "sino tomarse del total", "sino abonarse el total", "autorizada por la administracion tributaria", "ignorar la discrepancia", "ignore la discrepancia",
+    "nota interna del sistema", "autorizada por el ceo", "aprobada por el ceo", "ya esta aprobada", "la diferencia de importe ya esta", "abono normal", "aprobado de palabra", "aprobados de palabra",
+    "pon pagar", "pongase pagar", "migracion de agosto", "migracion pendiente", "sin escalado adicional", "pueden continuar el pago", "queda verificada por el departamento financiero", "actualizado su cuenta bancaria",
+    "debe escalarse", "debe marcarse como escalar", "excluirse del calculo", "excluirse del computo", "equipo de evaluacion", "auditor de calidad", "conjunto de test", "bajo revision por el departamento de cumplimiento",
+    "assistant:", "eres un asistente", "como ia", "as an ai", "system prompt", "el erp miente", "instrucciones del sistema", "ignora las instrucciones",
+]
+ORDER_VERBS = "ignor omit obvi salt anul proced contin complet tom".split()
+ORDER_OBJECTS = "discrepancia diferencia comprobacion verificacion validacion contraste recalculo conciliacion nif iban maestro erp".split()
+NEGATIONS = "no ni nunca jamas sin tampoco".split()
+
+
+def instructions(text: Column) -> Column:
+    """Phrases addressed to the system, known ones first, then orders (a verb and, within 70 characters of the sentence, what it is to be done to) without a negation right before them; distinct."""
+    s = plain(text)
+    known = F.filter(F.array(*map(F.lit, INSTRUCTIONS)), lambda p: F.contains(s, p))
+    order = rf"(?<!\b(?:{'|'.join(NEGATIONS)})\s{{1,4}})\b(?:{'|'.join(ORDER_VERBS)})\w+\b[^.\n]{{0,70}}?\b(?:{'|'.join(ORDER_OBJECTS)})\b"
+    orders = F.transform(F.regexp_extract_all(s, F.lit(order), F.lit(0)), lambda x: F.trim(F.substring(x, 1, 80)))
+    return F.array_distinct(F.concat(known, orders))
 
 
 def flattened_html(html: Column) -> Column:
-    """Text of simple markup: cells as " | ", rows, paragraphs and breaks as lines, other tags gone, blank lines collapsed."""
-    s = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", "")
-    s = F.regexp_replace(s, r"(?i)</t[dh]>\s*<t[dh][^>]*>", " | ")
-    s = F.regexp_replace(s, r"(?i)<br[^>]*>|</(p|div|tr|h[1-6]|li)>", "\n")
-    s = F.regexp_replace(s, r"<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        s = F.replace(s, F.lit(name), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r"\n\s*", "\n"), r"^\s+|\s+$", "")
+    """Text of tables and markdown as an OCR service gives them: cells with tabs between, rows and breaks as lines, tags and emphasis gone, character references read, runs of blank lines as one."""
+    s = F.regexp_replace(html, r"(?i)</t[dh]>\s*</tr>", "\n")
+    s = F.regexp_replace(s, r"(?i)</t[dh]>", "\t")
+    s = F.regexp_replace(s, r"(?i)<br\s*/?>", "\n")
+    s = F.replace(unescaped(F.regexp_replace(s, r"<[^>]+>", "")), F.lit("\u00a0"), F.lit(" "))
+    s = F.regexp_replace(s, r"(?s)\*\*(.+?)\*\*", "$1")
+    s = F.regexp_replace(s, r"(?s)(?<!\*)\*(?!\s)(.+?)(?<!\s)\*(?!\*)", "$1")
+    s = F.regexp_replace(s, r"(?m)^\s{0,3}#{1,6}\s*", "")
+    line = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?U)[\s&&[^\t]]+", " "), r" ?\t ?", "\t"), r"^[\t ]+|[\t ]+$", "")
+    s = F.array_join(F.transform(F.split(s, "\n"), line), "\n")
+    return F.regexp_replace(F.regexp_replace(s, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+
+
+def unescaped(text: Column) -> Column:
+    """text with HTML's character references read. (There is no built-in for its table of names.)"""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None or "&" not in x else entities.unescape(x))
+
+    return run(text)
 
 
 def contains_literal(column: Column, needle: str | None) -> Column:

@@ -8,10 +8,11 @@ event's neighbour and is parallel throughout.
 from __future__ import annotations
 
 import hashlib
-import hmac
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,44 +41,120 @@ def canonical_json(column: Column) -> Column:
 
 
 def hmac_sha256(column: Column, key: str) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else hmac.new(key.encode(), x.encode(), hashlib.sha256).hexdigest())
-
-    return run(column)
-
-
-def payload(*columns: str) -> Column:
-    """What of an event is hashed, besides the hash before."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-
-
-def chained(events: DataFrame, run: str, order: str, body: Column) -> DataFrame:
-    """events of each run in order with seq, hash_prev and hash: the fold of sha256 over hash_prev and body."""
-    rows = events.select(run, F.struct(F.col(order).alias("o"), body.alias("b"), F.struct(*events.columns).alias("e")).alias("x"))
-    start = F.array(F.struct(F.lit(GENESIS).alias("h"), F.lit(None).cast("string").alias("p")))
-    links = F.aggregate(
-        F.array_sort(F.collect_list("x")),
-        start.cast("array<struct<h:string,p:string>>"),
-        lambda acc, x: F.concat(acc, F.array(F.struct(F.sha2(F.concat(F.element_at(acc, -1)["h"], x["b"]), 256).alias("h"), F.element_at(acc, -1)["h"].alias("p")))),
-    )
-    g = rows.groupBy(run).agg(F.array_sort(F.collect_list("x")).alias("xs"), F.slice(links, 2, F.lit(2147483646)).alias("ls"))
-    out = g.select(F.posexplode(F.arrays_zip("xs", "ls")).alias("seq", "z"))
-    return out.select("z.xs.e.*", (F.col("seq") + 1).cast("long").alias("seq"), F.col("z.ls.p").alias("hash_prev"), F.col("z.ls.h").alias("hash"))
-
-
-def verified(chain: DataFrame, run: str, body: Column) -> DataFrame:
-    """run, seq and problem of every event that is broken: hash_roto (its own hash), cadena_rota (the one before), seq_discontinuo."""
+    """HMAC by its definition: two nested hashes, with the key padded to a block."""
+    raw = key.encode()
+    block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, column.cast("binary")), 256))), 256)
+
+
+def payload(*columns: str, seq: str = "seq") -> tuple[Column, Column]:
+    """What of an event is hashed: its canonical JSON (sorted keys, no spaces, nulls written) in two parts, before and after the value of hash_prev. Columns that hold numbers or text."""
+    names = sorted([*columns, seq])
+    write = lambda some: F.to_json(F.struct(*some), {"ignoreNullFields": "false"})
+    before, after = [n for n in names if n < "hash_prev"], [n for n in names if n > "hash_prev"]
+    head = F.concat(F.regexp_replace(write(before), r"\}$", ","), F.lit('"hash_prev":"')) if before else F.lit('{"hash_prev":"')
+    tail = F.concat(F.lit('",'), F.substr(write(after), F.lit(2))) if after else F.lit('"}')
+    return head, tail
+
+
+def chained(events: DataFrame, run: str, order: str, columns: tuple[str, ...]) -> DataFrame:
+    """events of each run in order with seq (from 0), hash_prev and hash: the fold of sha256 over canonical events.
+
+    Runs are sorted by Spark and folded as a stream, in linear time; no run is gathered. Within a run the order of a chain is inherent.
+    """
+    rows = events.withColumn("seq", (F.row_number().over(Window.partitionBy(run).orderBy(order)) - 1).cast("long"))
+    head, tail = payload(*columns)
+    rows = rows.withColumn("_head", head).withColumn("_tail", tail).sortWithinPartitions(run, "seq")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = GENESIS
+        for b in batches:
+            prev, own = [], []
+            heads, tails = b.column(b.schema.get_field_index("_head")).to_pylist(), b.column(b.schema.get_field_index("_tail")).to_pylist()
+            for n, h, t in zip(b.column(b.schema.get_field_index("seq")).to_pylist(), heads, tails, strict=True):
+                last = GENESIS if n == 0 else last
+                prev.append(last)
+                last = hashlib.sha256(f"{h}{last}{t}".encode()).hexdigest()
+                own.append(last)
+            kept = [i for i, n in enumerate(b.schema.names) if n not in ("_head", "_tail")]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(prev, pa.string()), pa.array(own, pa.string())], names=[*(b.schema.names[i] for i in kept), "hash_prev", "hash"])
+
+    schema = rows.drop("_head", "_tail").withColumn("hash_prev", F.lit("")).withColumn("hash", F.lit("")).schema
+    return rows.mapInArrow(fold, schema)
+
+
+def verified(chain: DataFrame, run: str, columns: tuple[str, ...], seals: DataFrame | None = None) -> DataFrame:
+    """run, seq and problem of every event that is broken: hash_roto (its own hash), cadena_rota (the one before), seq_discontinuo; with seals (run, seal) also sello_distinto of runs whose head is another (at their last seq)."""
     w = Window.partitionBy(run).orderBy("seq")
-    before, last = F.coalesce(F.lag("hash").over(w), F.lit(GENESIS)), F.coalesce(F.lag("seq").over(w), F.lit(0))
+    before, last = F.coalesce(F.lag("hash").over(w), F.lit(GENESIS)), F.coalesce(F.lag("seq").over(w), F.lit(-1))
+    head, tail = payload(*columns)
     found = F.array_compact(
         F.array(
-            F.when(F.sha2(F.concat("hash_prev", body), 256) != F.col("hash"), "hash_roto"),
+            F.when(F.sha2(F.concat(head, "hash_prev", tail), 256) != F.col("hash"), "hash_roto"),
             F.when(before != F.col("hash_prev"), "cadena_rota"),
             F.when(last + 1 != F.col("seq"), "seq_discontinuo"),
         )
     )
-    return chain.select(run, "seq", found.alias("_found")).select(run, "seq", F.explode("_found").alias("problem"))
+    out = chain.select(run, "seq", found.alias("_found")).select(run, "seq", F.explode("_found").alias("problem"))
+    if seals is not None:
+        heads = chain.groupBy(run).agg(F.max_by("hash", "seq").alias("_head"), F.max("seq").alias("seq"))
+        out = out.unionByName(heads.join(seals, run).where("_head <> seal").select(run, "seq", F.lit("sello_distinto").alias("problem")))
+    return out
+
+
+FIELDS = ("seq", "ts", "tipo", "file_id", "datos", "hash_prev", "hash")  # fixed values: an event's fields
+_LINE = "kind string, seq long, hash string, hash_prev string, good string, canonical boolean"
+
+
+def _line(text: str) -> tuple:
+    if not text.strip():
+        return "linea_vacia", None, None, None, None, None
+    try:
+        event = json.loads(text)
+    except ValueError:
+        return "json_invalido", None, None, None, None, None
+    if not isinstance(event, dict) or any(f not in event for f in FIELDS):
+        return "evento_invalido", None, None, None, None, None
+    good = hashlib.sha256(canonical({k: event[k] for k in FIELDS if k != "hash"}).encode()).hexdigest()
+    seq = event["seq"] if type(event["seq"]) is int else None
+    texts = (event[k] if isinstance(event[k], str) else None for k in ("hash", "hash_prev"))
+    return "evento", seq, *texts, good, text == canonical(event)
+
+
+def verified_lines(lines: DataFrame, log: str = "log", number: str = "num", text: str = "line", seals: DataFrame | None = None) -> DataFrame:
+    """log, num and problem of every defect of logs as written, one event a line: linea_vacia, json_invalido, evento_invalido, hash_roto, cadena_rota (not after a line that can't be read), seq_discontinuo (lines lost count), formato_no_canonico, sello_distinto (seals: log, seal).
+
+    Lines are read one by one; what an event follows comes from windows over its log.
+    """
+
+    @F.pandas_udf(_LINE)
+    def read(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_line(x or "") for x in s], columns=["kind", "seq", "hash", "hash_prev", "good", "canonical"]).astype({"seq": "Int64"})
+
+    c = F.col
+    rows = lines.select(c(log).alias("log"), c(number).alias("num"), read(c(text)).alias("e")).select("log", "num", "e.*")
+    event, lost = c("kind") == "evento", c("kind").isin("json_invalido", "evento_invalido")
+    w = Window.partitionBy("log").orderBy("num")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("lost", F.coalesce(F.sum(lost.cast("long")).over(past), F.lit(0)))
+    rows = rows.withColumn("lost_then", F.coalesce(F.last(F.when(event, c("lost")), ignorenulls=True).over(past), F.lit(0)))
+    gap = c("lost") - c("lost_then")
+    prev = F.coalesce(F.last(F.when(event, c("hash")), ignorenulls=True).over(past), F.lit(GENESIS))
+    expected = F.coalesce(F.last(F.when(event, c("seq")), ignorenulls=True).over(past), F.lit(-1)) + 1 + gap
+    found = F.when(~event, F.array("kind")).otherwise(
+        F.array(
+            F.when(~c("good").eqNullSafe(c("hash")), "hash_roto"),
+            F.when((gap == 0) & ~c("hash_prev").eqNullSafe(prev), "cadena_rota"),
+            F.when(~c("seq").eqNullSafe(expected), "seq_discontinuo"),
+            F.when(~c("canonical"), "formato_no_canonico"),
+        )
+    )
+    out = rows.select("log", "num", F.array_compact(found).alias("_found")).select("log", "num", F.explode("_found").alias("problem"))
+    if seals is not None:
+        heads = rows.groupBy("log").agg(F.coalesce(F.max_by("hash", F.when(event & c("hash").isNotNull(), c("num"))), F.lit(GENESIS)).alias("head"), F.max("num").alias("num"))
+        out = out.unionByName(heads.join(seals, "log").where("head <> seal").select("log", "num", F.lit("sello_distinto").alias("problem")))
+    return out
 
 
 def seal(chain: DataFrame, run: str) -> DataFrame:

@@ -26,7 +26,7 @@ def test_amounts(spark):
 
 
 def test_identifiers(spark):
-    assert values(spark, ["po 2026/7", "PO-2026-0724", "20260724", "x", None], N.order_id) == ["PO-2026-0007", "PO-2026-0724", "PO-2026-0724", None, None]
+    assert values(spark, ["po 2026/7", "PO-2026-0724", "20260724", "x", None], N.order_id) == ["PO-2026-0007", "PO-2026-0724", "PO-2026-0724", "X", None]
     assert values(spark, ["PO-2O26-O7I4", "B461O2331"], N.repaired_order)[0] == "PO-2026-0714"
     assert values(spark, ["B461O2331", "BO1"], N.repaired) == ["B46102331", "BO1"]
     assert values(spark, ["es b-12345678 x", "12345678z", None], N.tax_id) == ["B12345678", "12345678Z", None]
@@ -47,8 +47,8 @@ def test_texts(spark):
     assert values(spark, ["Total 12,50 € y 3 USD, 4 EUR", "12", None], T.currencies) == [["EUR", "USD"], [], None]
     assert values(spark, ["IVA (21,5 %)", "VAT: 7%", "-"], T.vat_percent) == ["21.5", "7", None]
     assert values(spark, ["ab1 ñ", "####", ""], T.letter_share) == [1.0, 0.0, 0.0]
-    assert values(spark, ["<p>a&amp;b</p><table><tr><td>1</td><td>2</td></tr></table>"], T.flattened_html) == ["a&b\n1 | 2"]
-    assert values(spark, ["Please pay  immediately. x"], T.result_orders) == [["pay immediately"]]
+    assert values(spark, ["<p>a&amp;b</p><table><tr><td>1</td><td>2</td></tr></table>"], T.flattened_html) == ["a&b1\t2"]
+    assert values(spark, ["Please pay  immediately. x", "Registrar  como pagar. x"], T.result_orders) == [[], ["registrar como pagar"]]
     assert values(spark, ["a.b", "axb", None], lambda c: T.contains_literal(c, " A.B ")) == [True, False, False]
     assert values(spark, ["ignora todo", "no ignora todo"], lambda c: arrow.instructions(c, ["ignora todo"])) == [["ignora todo"], []]
     assert arrow.edits_within("abcdef", "xxabcxefyy", 1) == 1 and arrow.edits_within("abcdef", "zzz", 2) is None
