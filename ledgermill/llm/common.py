@@ -34,6 +34,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _forget(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the session has ended: its catalog is gone, or keeps an entry without files
+        pass
+
+
 def stored(df: DataFrame, *then: DataFrame) -> DataFrame:
     """df, written once as a table in the shared folder and read again: its lineage is cut, so that lost executors cost no recomputation.
 
@@ -57,6 +64,7 @@ def bucketed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ledgermill-{uuid.uuid4().hex}"
     df.repartition(buckets, *keys).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, *keys).saveAsTable(name)
     atexit.register(_remove, spark, path)
+    atexit.register(_forget, spark, name)
     return spark.table(name)
 
 
