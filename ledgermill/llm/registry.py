@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermill.llm import ann, bpe, html_extract, langid, ngram_join, packing, quality_rules, secret_scan, sharding, sql, suffix_dedup
+from ledgermill.llm import ann, bpe, hard_negatives, html_extract, langid, mixture, ngram_join, packing, quality_rules, resampling, secret_scan, sharding, sql, suffix_dedup
 from ledgermill.llm.common import table
 
 
@@ -52,11 +52,24 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op10_quality_rules, op9_kd_sharding, op2_best_fit_packing, op4_byte_bpe, op7_language_id, op6_consensus_html, op8_secret_scan, op5_multiprobe_ann, op1_ngram_join, op3_suffix_dedup)
+    found = (op10_quality_rules, op9_kd_sharding, op2_best_fit_packing, op4_byte_bpe, op7_language_id, op6_consensus_html, op8_secret_scan, op5_multiprobe_ann, op1_ngram_join, op3_suffix_dedup, op11_hard_negatives, op12_importance_resampling, op13_source_mixing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others have no form in SQL: trained or sampled models, segment trees, suffix arrays, vocabularies."""
-    return {"op1_ngram_join": sql.OP1, "op10_quality_rules": sql.OP10}
+    return {"op1_ngram_join": sql.OP1, "op10_quality_rules": sql.OP10, "op11_hard_negatives": sql.OP11, "op12_importance_resampling": sql.OP12, "op13_source_mixing": sql.OP13}
