@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from ledgermill.plans import catalog
@@ -15,7 +16,7 @@ QUICK = ["reconcile_three_way", "rule_coverage", "ledger_dedup_keep_lowest", "le
 
 
 def rows(df):
-    plain = lambda x: None if x is None or x != x else round(float(x), 6) if isinstance(x, (int, float)) or hasattr(x, "as_tuple") or hasattr(x, "dtype") else str(x)[:10] if hasattr(x, "year") else str(x)
+    plain = lambda x: None if pd.isna(x) else round(float(x), 6) if isinstance(x, (int, float)) or hasattr(x, "as_tuple") or hasattr(x, "dtype") else str(x)[:10] if hasattr(x, "year") else str(x)
     return sorted((tuple(plain(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
 
