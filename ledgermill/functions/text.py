@@ -55,11 +55,14 @@ def _found(text: Column, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.trim(F.substring(F.regexp_replace(x, r"\s+", " "), 1, 80)))
 
 
+# How texts dictate the result.
+RESULT_ORDERS = [r"\bregistr\w*\s+(?:la\s+decision\s+|el\s+resultado\s+)?como\s+(?:pagar|escalar|no[\s_]?pagar)\b", r"\bbloque\w*\s+el\s+pago\b", r"\bpuedes\s+pagar\s+con\s+seguridad\b"]
+
+
 def result_orders(text: Column) -> Column:
     """Passages that dictate the result to the system ("registrar como pagar", "bloquear el pago", ...): by kind, white space as single spaces, at most 80 characters, distinct."""
     s = plain(text)
-    kinds = [r"\bregistr\w*\s+(?:la\s+decision\s+|el\s+resultado\s+)?como\s+(?:pagar|escalar|no[\s_]?pagar)\b", r"\bbloque\w*\s+el\s+pago\b", r"\bpuedes\s+pagar\s+con\s+seguridad\b"]  # fixed values
-    return F.array_distinct(F.flatten(F.array(*[_found(s, k) for k in kinds])))
+    return F.array_distinct(F.flatten(F.array(*[_found(s, k) for k in RESULT_ORDERS])))
 
 
 # Phrases that address the system, and the verbs and objects of an order to it.
@@ -71,18 +74,31 @@ INSTRUCTIONS = [
     "debe escalarse", "debe marcarse como escalar", "excluirse del calculo", "excluirse del computo", "equipo de evaluacion", "auditor de calidad", "conjunto de test", "bajo revision por el departamento de cumplimiento",
     "assistant:", "eres un asistente", "como ia", "as an ai", "system prompt", "el erp miente", "instrucciones del sistema", "ignora las instrucciones",
 ]
-ORDER_VERBS = "ignor omit obvi salt anul proced contin complet tom".split()
-ORDER_OBJECTS = "discrepancia diferencia comprobacion verificacion validacion contraste recalculo conciliacion nif iban maestro erp".split()
-NEGATIONS = "no ni nunca jamas sin tampoco".split()
+# Fixed value: an order to the system (a verb and, within 70 characters of the sentence, what it is to be done to) without a negation right before it.
+ORDER = r"(?<!\b(?:no|ni|nunca|jamas|sin|tampoco)\s{1,4})\b(?:ignor|omit|obvi|salt|anul|proced|contin|complet|tom)\w+\b[^.\n]{0,70}?\b(?:discrepancia|diferencia|comprobacion|verificacion|validacion|contraste|recalculo|conciliacion|nif|iban|maestro|erp)\b"
+_KNOWN = "|".join(p.replace(".", r"\.") for p in INSTRUCTIONS)
+
+
+def gives_instructions(text: Column) -> Column:
+    """Whether text holds any of what instructions() finds: one pass over it."""
+    return plain(text).rlike(f"{_KNOWN}|{ORDER}")
+
+
+def dictates_result(text: Column) -> Column:
+    """Whether text holds any of what result_orders() finds."""
+    return plain(text).rlike("|".join(RESULT_ORDERS))
 
 
 def instructions(text: Column) -> Column:
-    """Phrases addressed to the system, known ones first, then orders (a verb and, within 70 characters of the sentence, what it is to be done to) without a negation right before them; distinct."""
-    s = plain(text)
-    known = F.filter(F.array(*map(F.lit, INSTRUCTIONS)), lambda p: F.contains(s, p))
-    order = rf"(?<!\b(?:{'|'.join(NEGATIONS)})\s{{1,4}})\b(?:{'|'.join(ORDER_VERBS)})\w+\b[^.\n]{{0,70}}?\b(?:{'|'.join(ORDER_OBJECTS)})\b"
-    orders = F.transform(F.regexp_extract_all(s, F.lit(order), F.lit(0)), lambda x: F.trim(F.substring(x, 1, 80)))
-    return F.array_distinct(F.concat(known, orders))
+    """Phrases addressed to the system, known ones first, then orders (see ORDER); distinct. Texts without any, which are nearly all, are passed over once."""
+
+    def found(s: Column) -> Column:
+        known = F.filter(F.array(*map(F.lit, INSTRUCTIONS)), lambda p: F.contains(s, p))
+        orders = F.transform(F.regexp_extract_all(s, F.lit(ORDER), F.lit(0)), lambda x: F.trim(F.substring(x, 1, 80)))
+        return F.array_distinct(F.concat(known, orders))
+
+    none = F.array().cast("array<string>")
+    return F.when(gives_instructions(text), F.get(F.transform(F.array(plain(text)), found), 0)).when(text.isNotNull(), none)
 
 
 def flattened_html(html: Column) -> Column:

@@ -34,52 +34,85 @@ def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-DECIDED = (
-    WORLD
-    + """,
+_RESOLVED = """,
 one AS (SELECT pedido, arg_max(proveedor_id, seq) AS proveedor_id FROM order_rows GROUP BY pedido),
-erp AS (SELECT pedido, arg_max(importe, seq) AS importe, arg_max(estado, seq) AS estado FROM ledger GROUP BY pedido),
 r0 AS (SELECT i.*, e.pedido AS exacto, CASE WHEN e.pedido IS NULL THEN
   'PO-' || substr(translate(substr(replace(pedido_leido, '-', ''), 3), 'OQDILZEASGTBP', '0001123456789'), 1, 4) || '-' || lpad(substr(translate(substr(replace(pedido_leido, '-', ''), 3), 'OQDILZEASGTBP', '0001123456789'), 5), 4, '0') END AS reparado
   FROM invoices i LEFT JOIN one e ON e.pedido = i.pedido_leido),
-r1 AS (SELECT r0.*, coalesce(exacto, a.pedido) AS m, CASE WHEN exacto IS NOT NULL THEN 'exact' WHEN a.pedido IS NOT NULL THEN 'repaired' END AS via FROM r0 LEFT JOIN one a ON a.pedido = reparado),
-cnt AS (SELECT m, count(DISTINCT file_id) AS n_files FROM r1 WHERE m IS NOT NULL GROUP BY m),
-w AS (SELECT r1.*, erp.importe, erp.estado, s.nif AS nif_m, s.iban AS iban_m, cnt.n_files, review.pedido IS NOT NULL AS listed, EXISTS (SELECT 1 FROM suppliers x WHERE x.nif = r1.nif_leido) AS nif_known,
-  trim(texto) = '' AS blank, divisa <> 'EUR' AS foreign_
-  FROM r1 LEFT JOIN erp ON erp.pedido = m LEFT JOIN one ON one.pedido = m LEFT JOIN suppliers s ON s.proveedor_id = one.proveedor_id LEFT JOIN cnt USING (m) LEFT JOIN review ON review.pedido = m),
-wa AS (SELECT * EXCLUDE (base, iva, total), CASE WHEN fixed THEN coalesce(pair.b, base) ELSE base END AS base, CASE WHEN fixed THEN coalesce(pair.i, iva) ELSE iva END AS iva, CASE WHEN fixed THEN importe ELSE total END AS total FROM (
-  SELECT *, ocr AND (coalesce(by_total, false) OR pair IS NOT NULL) AS fixed FROM (SELECT w.*, len(list_filter([total * 100, total * 10, total], lambda x: abs(x - importe) <= 0.01)) > 0 AS by_total,
-  list_filter([{'b': base * 100, 'i': iva * 100}, {'b': base * 100, 'i': iva * 10}, {'b': base * 100, 'i': iva}, {'b': base * 10, 'i': iva * 100}, {'b': base * 10, 'i': iva * 10}, {'b': base * 10, 'i': iva}, {'b': base, 'i': iva * 100}, {'b': base, 'i': iva * 10}, {'b': base, 'i': iva}], lambda p: abs(p.b + p.i - importe) <= 0.01)[1] AS pair FROM w))),
-w2 AS (SELECT wa.*, coalesce(total, CASE WHEN NOT foreign_ AND NOT ocr AND abs(base + iva - importe) <= 0.01 THEN base + iva END) AS tot, try_strptime(fecha_leida, '%d/%m/%Y') AS fecha, NOT (blank OR m IS NULL OR importe IS NULL OR nif_m IS NULL) AS alive FROM wa),
-w3 AS (SELECT w2.*, coalesce(via = 'exact', false) AS fiable, coalesce(abs(tot - importe) <= 0.01, false) AND NOT foreign_ AS confirmed FROM w2),
-w4 AS (SELECT w3.*, ocr AND fiable AND confirmed AS by_scan, fiable AND confirmed AS proven FROM w3),
+r1 AS (SELECT r0.*, coalesce(exacto, a.pedido) AS m, CASE WHEN exacto IS NOT NULL THEN 'exact' WHEN a.pedido IS NOT NULL THEN 'repaired' END AS via FROM r0 LEFT JOIN one a ON a.pedido = reparado)
+"""
+
+# The policy by SQL, from its description: candidates one by one, then facts, then the fold.
+DECIDED = (
+    WORLD
+    + """,
+one AS (SELECT pedido, arg_max(proveedor_id, seq) AS proveedor_id FROM order_rows GROUP BY pedido),
+erp AS (SELECT pedido, arg_max(importe, seq) AS importe, arg_max(estado, seq) AS estado, arg_max(nif, seq) AS nif FROM ledger GROUP BY pedido),
+bodies AS (SELECT substr(pedido, 9) AS body, max(pedido) AS pedido FROM one GROUP BY 1 HAVING count(*) = 1),
+by_amount AS (SELECT nif, importe, max(pedido) AS pedido FROM erp WHERE pedido IN (SELECT pedido FROM one) AND nif IN (SELECT nif FROM master) GROUP BY 1, 2 HAVING count(*) = 1),
+po0 AS (SELECT file_id, ocr, unnest(pedidos) AS p, generate_subscripts(pedidos, 1) AS pos FROM readings),
+po1 AS (SELECT *, translate(substr(replace(p, '-', ''), 3), 'OQDILZEASGTBP', '0001123456789') AS digits FROM po0),
+po AS (SELECT po1.file_id, pos, a.pedido IS NOT NULL AS literal, CASE WHEN a.pedido IS NOT NULL THEN 'exact' WHEN r.pedido IS NOT NULL THEN 'repaired' WHEN b.pedido IS NOT NULL THEN 'body' END AS via, coalesce(a.pedido, r.pedido, b.pedido) AS m
+  FROM po1 LEFT JOIN one a ON a.pedido = p LEFT JOIN one r ON r.pedido = 'PO-' || substr(digits, 1, 4) || '-' || lpad(substr(digits, 5), 4, '0') LEFT JOIN bodies b ON ocr AND regexp_matches(p, '^PO-[0-9]{3,4}-[0-9]{4}$') AND b.body = p[-4:]),
+named AS (SELECT file_id, count(DISTINCT m) AS n_orders, max(m) AS m, arg_min(via, pos) AS via, bool_or(literal) AS literal FROM po WHERE m IS NOT NULL GROUP BY 1),
+foreign_ AS (SELECT file_id FROM readings WHERE len(list_filter(divisas, lambda d: d <> 'EUR')) > 0),
+rescued AS (SELECT file_id, arg_min(pedido, (np, tp)) AS m FROM (SELECT file_id, unnest(nifs) AS x, generate_subscripts(nifs, 1) AS np FROM readings WHERE file_id NOT IN (SELECT file_id FROM foreign_))
+  JOIN (SELECT file_id, unnest(totales || bases) AS t, generate_subscripts(totales || bases, 1) AS tp FROM readings) USING (file_id) JOIN by_amount b ON b.nif = x AND b.importe = try_cast(t AS DECIMAL(28,8)) GROUP BY 1),
+ids AS (SELECT DISTINCT 'n' AS kind, unnest(nifs) AS x FROM readings UNION SELECT DISTINCT 'i', unnest(ibans) FROM readings),
+words AS (SELECT DISTINCT 'n' AS kind, nif AS w FROM master WHERE nif IS NOT NULL UNION SELECT DISTINCT 'i', iban FROM master WHERE iban IS NOT NULL),
+fixed_ids AS (SELECT ids.kind, x, coalesce(a.w, r.w, (SELECT arg_min(w, (levenshtein(w, x), w)) FROM words WHERE words.kind = ids.kind AND length(w) = length(x) AND 1 - levenshtein(w, x) / length(x) >= CASE ids.kind WHEN 'n' THEN 0.85 ELSE 0.9 END)) AS w FROM ids
+  LEFT JOIN words a ON a.kind = ids.kind AND a.w = x LEFT JOIN words r ON r.kind = ids.kind AND r.w = regexp_extract(x, '^[A-Z]+') || translate(substr(x, length(regexp_extract(x, '^[A-Z]+')) + 1), 'OQDILZEASGTBP', '0001123456789')),
+nif_of AS (SELECT file_id, list(DISTINCT coalesce(w, x)) AS nif_set, count(w) > 0 AS other FROM (SELECT file_id, unnest(nifs) AS x FROM readings) JOIN fixed_ids USING (x) WHERE kind = 'n' GROUP BY 1),
+iban_of AS (SELECT file_id, list(DISTINCT coalesce(w, x)) AS iban_set FROM (SELECT file_id, unnest(ibans) AS x FROM readings) JOIN fixed_ids USING (x) WHERE kind = 'i' GROUP BY 1),
+r AS (SELECT q.*, coalesce(named.n_orders, CASE WHEN rescued.m IS NOT NULL THEN 1 ELSE 0 END) AS n_orders, CASE WHEN named.n_orders = 1 THEN named.m WHEN named.n_orders IS NULL THEN rescued.m END AS m, CASE WHEN named.n_orders = 1 THEN named.via WHEN named.n_orders IS NULL AND rescued.m IS NOT NULL THEN 'structure' END AS via,
+  coalesce(literal, false) AS literal, coalesce(nif_set, []) AS nif_set, coalesce(iban_set, []) AS iban_set, coalesce(other, false) AS other, trim(texto) = '' AS blank, q.file_id IN (SELECT file_id FROM foreign_) AS ajena,
+  regexp_matches(lower(texto), 'registrar como (pagar|escalar|no pagar)|bloquear el pago') AS dictates, regexp_matches(lower(texto), 'nota interna del sistema|ignore la discrepancia') AS instructs
+  FROM readings q LEFT JOIN named USING (file_id) LEFT JOIN rescued USING (file_id) LEFT JOIN nif_of USING (file_id) LEFT JOIN iban_of USING (file_id)),
+cnt AS (SELECT m, count(*) AS n_files FROM r WHERE m IS NOT NULL GROUP BY m),
+w AS (SELECT r.*, erp.importe, erp.estado, s.nif AS nif_m, s.iban AS iban_m, s.proveedor_id IS NOT NULL AS in_master, cnt.n_files, review.pedido IS NOT NULL AS listed,
+  list_filter(bases, lambda x: regexp_matches(x, '^[0-9.]+$'))[1] AS bs, list_filter(ivas, lambda x: regexp_matches(x, '^-?[0-9.]+$'))[1] AS vs, list_filter(totales, lambda x: regexp_matches(x, '^[0-9.]+$'))[1] AS ts,
+  list_filter(list_transform(fechas, lambda x: try_strptime(x, '%d/%m/%Y')), lambda x: x IS NOT NULL)[1] AS fecha
+  FROM r LEFT JOIN erp ON erp.pedido = m LEFT JOIN one ON one.pedido = m LEFT JOIN master s ON s.proveedor_id = one.proveedor_id LEFT JOIN cnt USING (m) LEFT JOIN review ON review.pedido = m),
+-- What digits may be: with no, one or two decimals.
+dig AS (SELECT w.*, list_transform([1, 10, 100], lambda d: CAST(replace(bs, '.', '') AS DECIMAL(28,4)) / d) AS bd, list_transform([1, 10, 100], lambda d: CAST(replace(replace(vs, '.', ''), '-', '') AS DECIMAL(28,4)) / d) AS vd, list_transform([1, 10, 100], lambda d: CAST(replace(ts, '.', '') AS DECIMAL(28,4)) / d) AS td FROM w),
+wa AS (SELECT * EXCLUDE (bd, vd, td), ocr AND NOT ajena AND coalesce(len(list_filter(td, lambda x: abs(x - importe) < 0.0100001)) > 0, false) AS by_total,
+  CASE WHEN ocr AND NOT ajena THEN list_filter(flatten(list_transform(bd, lambda b: list_transform(vd, lambda v: {'b': b, 'v': v}))), lambda p: abs(p.b + p.v - importe) < 0.0100001)[1] END AS pair FROM dig),
+wb AS (SELECT *, CAST(CASE WHEN pair IS NOT NULL THEN pair.b ELSE CAST(bs AS DECIMAL(28,4)) END AS DECIMAL(18,2)) AS base, CAST(CASE WHEN pair IS NOT NULL THEN pair.v ELSE CAST(vs AS DECIMAL(28,4)) END AS DECIMAL(18,2)) AS iva,
+  CASE WHEN by_total OR pair IS NOT NULL THEN importe ELSE CAST(CAST(ts AS DECIMAL(28,4)) AS DECIMAL(18,2)) END AS tot0 FROM wa),
+w2 AS (SELECT *, coalesce(tot0, CASE WHEN NOT ajena AND NOT ocr AND abs(base + iva - importe) <= 0.01 THEN base + iva END) AS tot, NOT blank AND n_orders = 1 AND importe IS NOT NULL AND in_master AS alive FROM wb),
+w3 AS (SELECT *, coalesce(abs(tot - importe) <= 0.01, false) AS confirmed FROM w2),
+w4 AS (SELECT *, alive AND literal AS fiable, literal AND confirmed AS proven, ocr AND literal AND confirmed AS by_scan FROM w3),
 facts AS (SELECT file_id, m, via, fiable, [
-  {'r': 'R6', 'ok': CASE WHEN blank THEN false END, 't': 'sin texto legible', 'hard': false, 'note': false},
-  {'r': 'R2', 'ok': CASE WHEN NOT blank AND m IS NULL THEN false END, 't': 'pedido no resuelto', 'hard': false, 'note': false},
-  {'r': 'R2', 'ok': CASE WHEN NOT blank AND m IS NOT NULL AND importe IS NULL THEN false END, 't': 'pedido ausente del ERP', 'hard': false, 'note': false},
-  {'r': 'R2', 'ok': CASE WHEN NOT blank AND m IS NOT NULL AND importe IS NOT NULL AND nif_m IS NULL THEN false END, 't': 'proveedor ausente del maestro', 'hard': false, 'note': false},
-  {'r': 'R7', 'ok': CASE WHEN alive THEN NOT foreign_ END, 't': 'divisa distinta', 'hard': false, 'note': false},
-  {'r': 'R6', 'ok': CASE WHEN alive AND ocr AND iban_leido IS NULL THEN false END, 't': 'escaneo sin IBAN', 'hard': false, 'note': false},
-  {'r': 'R1', 'ok': CASE WHEN alive THEN coalesce(CASE WHEN nif_leido IS NULL THEN by_scan ELSE nif_leido = nif_m END, false) END, 't': 'NIF no coincide', 'hard': false, 'note': by_scan AND nif_leido IS NOT NULL AND NOT nif_known},
-  {'r': 'R1', 'ok': CASE WHEN alive THEN coalesce(CASE WHEN iban_leido IS NULL THEN by_scan ELSE iban_leido = iban_m END, false) END, 't': 'IBAN no coincide', 'hard': false, 'note': false},
-  {'r': 'R2', 'ok': CASE WHEN alive THEN coalesce(abs(tot - importe) <= 0.01, false) END, 't': 'importe no cuadra', 'hard': false, 'note': false},
-  {'r': 'R3', 'ok': CASE WHEN alive THEN coalesce(abs(base + iva - tot) <= 0.01, false) END, 't': 'base e IVA no suman', 'hard': false, 'note': confirmed AND (base IS NULL OR iva IS NULL)},
-  {'r': 'R4', 'ok': CASE WHEN alive THEN coalesce(fecha <= DATE '2026-09-19', false) END, 't': 'fecha no válida', 'hard': false, 'note': proven AND fecha IS NULL},
-  {'r': 'R5', 'ok': CASE WHEN alive AND estado = 'PAGADA' THEN false END, 't': 'pedido ya pagado', 'hard': true, 'note': false},
-  {'r': 'R5', 'ok': CASE WHEN alive AND estado <> 'PAGADA' THEN estado = 'PENDIENTE' END, 't': 'estado desconocido', 'hard': false, 'note': false},
-  {'r': 'R6', 'ok': CASE WHEN alive THEN n_files <= 1 END, 't': 'pedido repetido', 'hard': false, 'note': false},
-  {'r': 'R6', 'ok': CASE WHEN alive THEN NOT listed END, 't': 'pedido en revisión', 'hard': false, 'note': false}] AS fs FROM w4),
-dec0 AS (SELECT file_id, m AS matched, via, fiable, list_filter(fs, lambda f: f.ok IS NOT NULL) AS fs FROM facts),
+  {'r': 'R6', 'ok': CASE WHEN blank THEN false END, 't': 'sin texto legible', 'hard': false, 'note': false, 'said': true},
+  {'r': 'R6', 'ok': CASE WHEN NOT blank AND ilegible THEN false END, 't': 'capa de texto corrupta', 'hard': false, 'note': false, 'said': true},
+  {'r': 'R6', 'ok': CASE WHEN NOT blank AND instructs THEN false END, 't': 'instrucciones al sistema', 'hard': false, 'note': true, 'said': true},
+  {'r': 'R6', 'ok': CASE WHEN NOT blank AND dictates THEN false END, 't': 'dicta la decisión', 'hard': false, 'note': false, 'said': true},
+  {'r': 'R2', 'ok': CASE WHEN NOT blank AND n_orders > 1 THEN false END, 't': 'pedido ambiguo', 'hard': false, 'note': false, 'said': true},
+  {'r': 'R2', 'ok': CASE WHEN NOT blank AND n_orders = 0 THEN false END, 't': 'pedido no resuelto', 'hard': false, 'note': false, 'said': true},
+  {'r': 'R2', 'ok': CASE WHEN NOT blank AND m IS NOT NULL AND importe IS NULL THEN false END, 't': 'pedido ausente del ERP', 'hard': false, 'note': false, 'said': true},
+  {'r': 'R2', 'ok': CASE WHEN NOT blank AND m IS NOT NULL AND importe IS NOT NULL AND NOT in_master THEN false END, 't': 'proveedor ausente del maestro', 'hard': false, 'note': false, 'said': true},
+  {'r': 'R7', 'ok': CASE WHEN alive THEN NOT ajena END, 't': 'divisa distinta', 'hard': false, 'note': false, 'said': true},
+  {'r': 'R6', 'ok': CASE WHEN alive AND ocr AND len(ibans) = 0 THEN false END, 't': 'escaneo sin IBAN', 'hard': false, 'note': false, 'said': true},
+  {'r': 'R1', 'ok': CASE WHEN alive THEN CASE WHEN len(nif_set) = 0 THEN by_scan ELSE coalesce(list_contains(nif_set, nif_m), false) END END, 't': CASE WHEN len(nif_set) = 0 THEN 'NIF no legible' WHEN nif_m IS NULL THEN 'NIF ausente del maestro' WHEN other THEN 'NIF de otro proveedor' ELSE 'NIF desconocido' END, 'hard': false,
+    'note': by_scan AND len(nif_set) > 0 AND nif_m IS NOT NULL AND NOT other, 'said': NOT (by_scan AND len(nif_set) > 0 AND nif_m IS NOT NULL AND NOT other)},
+  {'r': 'R1', 'ok': CASE WHEN alive THEN CASE WHEN len(iban_set) = 0 THEN by_scan ELSE coalesce(list_contains(iban_set, iban_m), false) END END, 't': CASE WHEN len(iban_set) = 0 THEN 'IBAN no legible' WHEN iban_m IS NULL THEN 'IBAN ausente del maestro' ELSE 'IBAN no coincide' END, 'hard': false, 'note': false, 'said': true},
+  {'r': 'R2', 'ok': CASE WHEN alive THEN coalesce(abs(tot - importe) <= 0.01, false) END, 't': CASE WHEN tot IS NULL THEN 'total no legible' ELSE 'importe no cuadra' END, 'hard': false, 'note': false, 'said': true},
+  {'r': 'R3', 'ok': CASE WHEN alive THEN coalesce(abs(base + iva - tot) <= 0.01, false) END, 't': CASE WHEN base IS NULL OR iva IS NULL OR tot IS NULL THEN 'base o IVA no legibles' ELSE 'base e IVA no suman' END, 'hard': false, 'note': confirmed AND (base IS NULL OR iva IS NULL OR tot IS NULL), 'said': (base IS NOT NULL AND iva IS NOT NULL AND tot IS NOT NULL) OR (NOT confirmed AND (base IS NULL OR iva IS NULL))},
+  {'r': 'R4', 'ok': CASE WHEN alive THEN coalesce(fecha <= DATE '2026-09-19', false) END, 't': CASE WHEN len(fechas) = 0 THEN 'fecha no legible' WHEN fecha IS NULL THEN 'fecha no existe' ELSE 'fecha futura' END, 'hard': false, 'note': proven AND len(fechas) = 0, 'said': NOT (proven AND len(fechas) = 0)},
+  {'r': 'R5', 'ok': CASE WHEN alive AND estado = 'PAGADA' THEN false END, 't': 'pedido ya pagado', 'hard': true, 'note': false, 'said': true},
+  {'r': 'R5', 'ok': CASE WHEN alive AND estado <> 'PAGADA' THEN estado = 'PENDIENTE' END, 't': 'estado desconocido', 'hard': false, 'note': false, 'said': true},
+  {'r': 'R6', 'ok': CASE WHEN alive THEN n_files <= 1 END, 't': 'pedido repetido', 'hard': false, 'note': false, 'said': true},
+  {'r': 'R6', 'ok': CASE WHEN alive THEN NOT listed END, 't': 'pedido en revisión', 'hard': false, 'note': false, 'said': true}] AS fs FROM w4),
+dec0 AS (SELECT file_id, m AS matched, via, fiable, list_filter(list_transform(fs, lambda f: {'r': f.r, 'ok': f.ok, 't': f.t, 'hard': f.hard, 'note': f.note AND NOT f.ok, 'said': f.said}), lambda f: f.ok IS NOT NULL) AS fs FROM facts),
 dec AS (SELECT *, list_filter(fs, lambda f: NOT f.ok AND NOT f.note) AS bad FROM dec0),
 decisions AS (SELECT file_id, matched, via, fiable, fs, CASE WHEN len(bad) = 0 THEN 'PAGAR' WHEN fiable AND len(list_filter(bad, lambda f: f.hard)) > 0 THEN 'NO_PAGAR' ELSE 'ESCALAR' END AS resultado,
-  array_to_string(list_transform(list_filter(fs, lambda f: NOT f.ok), lambda f: f.t), '; ') AS motivos FROM dec)
+  array_to_string(list_transform(list_filter(fs, lambda f: NOT f.ok AND f.said), lambda f: f.t), '; ') AS motivos FROM dec)
 """
 )
 
 
 def decisions(spark, sf_dir) -> DataFrame:
-    w = World(spark, sf_dir)
-    return reconcile.decide(w.invoices, w.ledger, w.orders, w.suppliers, w.review)
+    return reconcile.decide(*World(spark, sf_dir).tables())
 
 
 @query(DECIDED + "SELECT file_id, matched, via, resultado, motivos, fiable FROM decisions")
@@ -140,7 +173,7 @@ def fuzzy_id_match(spark, sf_dir):
     return match.fuzzy_same_length(w.invoices.select("file_id", "pedido_leido"), "pedido_leido", w.orders.select("pedido"), "pedido")
 
 
-@query(DECIDED + "SELECT file_id, pedido_leido, m AS matched, via FROM r1")
+@query(WORLD + _RESOLVED + "SELECT file_id, pedido_leido, m AS matched, via FROM r1")
 def strict_id_match(spark, sf_dir):
     w = World(spark, sf_dir)
     return match.strict_or_repaired(w.invoices.select("file_id", "pedido_leido"), "pedido_leido", w.orders, "pedido", N.repaired_order)
@@ -454,16 +487,14 @@ def hmac_seal(spark, sf_dir):
 
 @query(DECIDED.replace("DATE '2026-09-19'", "DATE '1998-01-01'") + ", later AS (SELECT file_id, resultado AS after FROM decisions) SELECT count(*) AS n, after FROM later GROUP BY after")
 def policy_with_other_date(spark, sf_dir):
-    w = World(spark, sf_dir)
-    d = reconcile.decide(w.invoices, w.ledger, w.orders, w.suppliers, w.review, Policy(today="1998-01-01"))
+    d = reconcile.decide(*World(spark, sf_dir).tables(), Policy(today="1998-01-01"))
     return d.groupBy(F.col("resultado").alias("after")).agg(F.count("*").alias("n"))
 
 
 @query(DECIDED + """, h AS (SELECT file_id, len(list_filter(bad, lambda f: f.hard)) > 0 AND fiable AS moves FROM dec)
 SELECT file_id, 'NO_PAGAR' AS before, 'ESCALAR' AS after, 'changed' AS kind FROM h WHERE moves""")
 def what_if_policy(spark, sf_dir):
-    w = World(spark, sf_dir)
-    return review.what_if((w.invoices, w.ledger, w.orders, w.suppliers, w.review), Policy(), hard={"pago_duplicado": "ESCALAR"})
+    return review.what_if(World(spark, sf_dir).tables(), Policy(), hard={"pago_duplicado": "ESCALAR"})
 
 
 _SECOND = """, one AS (SELECT pedido, arg_max(proveedor_id, seq) AS proveedor_id FROM order_rows GROUP BY pedido), known AS (SELECT pedido, s.iban AS expected FROM one JOIN suppliers s USING (proveedor_id)),
@@ -560,7 +591,7 @@ def field_null_census(spark, sf_dir):
 def _trace(spark, sf_dir) -> DataFrame:
     """Decisions as recorded: two lots, some results unknown, amounts lost in some, facts instead of reasons."""
     w, c = World(spark, sf_dir), F.col
-    d = reconcile.decide(w.invoices, w.ledger, w.orders, w.suppliers, w.review)
+    d = reconcile.decide(*w.tables())
     facts = F.transform("facts", lambda f: F.struct(f["rule"].alias("regla"), f["ok"].alias("ok"), f["reason"].alias("motivo"), f["hard"].alias("duro"), f["note"].alias("informativo")))
     i = w.invoices.select("file_id", "k", "lote", "divisa", "total", "nif_leido", "pedido_leido")
     fields = F.create_map(F.lit("pedido"), F.concat(F.lit(" "), "pedido_leido"), F.lit("nif_maestro"), F.lit(" "), F.lit("nif_asiento"), c("nif_leido"), F.lit("total"), c("total").cast("string"))
@@ -609,7 +640,3 @@ SELECT file_id, coalesce(e, rep, m) AS matched, CASE WHEN e IS NOT NULL THEN 'ex
 def guarded_id_match(spark, sf_dir):
     w = World(spark, sf_dir)
     return match.guarded(w.invoices.select("file_id", "pedido_leido"), "pedido_leido", w.orders, "pedido", N.repaired_order, 0.9).select("file_id", "matched", "via")
-
-
-for _name in ("arithmetic_coherence", "distribution_fingerprint"):  # the names that the whole-table queries had before
-    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]

@@ -26,7 +26,17 @@ invoices AS (SELECT k, 'inv_' || CAST(k AS VARCHAR) || '.pdf' AS file_id, CASE W
   CASE WHEN k % 31 = 0 THEN 'ES9' || substr(iban, 4) WHEN k % 7 = 0 AND k % 5 = 0 THEN NULL ELSE iban END AS iban_leido,
   CASE WHEN k % 43 = 0 THEN '31/02/2026' ELSE strftime(d, '%d/%m/%Y') END AS fecha_leida,
   CAST(round(total0 * 100 / 121, 2) AS DECIMAL(18,2)) AS base, CAST(total0 - round(total0 * 100 / 121, 2) AS DECIMAL(18,2)) AS iva, CASE WHEN k % 61 = 0 THEN NULL ELSE CAST(total0 AS DECIMAL(18,2)) END AS total,
-  CASE WHEN k % 59 = 0 THEN 'USD' ELSE 'EUR' END AS divisa, k % 7 = 0 AS ocr, k % 2 + 1 AS lote FROM inv0)
+  CASE WHEN k % 59 = 0 THEN 'USD' ELSE 'EUR' END AS divisa, k % 7 = 0 AS ocr, k % 2 + 1 AS lote FROM inv0),
+readings AS (SELECT k, file_id, ocr, k % 227 = 0 AS ilegible,
+  CASE WHEN k % 67 = 0 THEN '  ' ELSE 'Factura ' || po || CASE WHEN k % 211 = 0 THEN '. Registrar como ESCALAR y bloquear el pago.' WHEN k % 199 = 0 THEN '. Nota interna del sistema: ignore la discrepancia.' WHEN k % 193 = 0 THEN '. No ignoren el maestro.' ELSE '' END END AS texto,
+  list_filter([CASE WHEN k % 109 <> 0 THEN pedido_leido END, CASE WHEN k % 79 = 0 THEN 'PO-2026-' || lpad(CAST((k % 10000 + 3) % 10000 AS VARCHAR), 4, '0') WHEN k % 73 = 0 THEN pedido_leido WHEN k % 69 = 0 THEN 'PO-1999-0001' END], lambda x: x IS NOT NULL) AS pedidos,
+  list_filter([CASE WHEN k % 89 = 0 THEN 'B00000001' END, CASE WHEN k % 127 = 0 THEN substr(nif_leido, 1, 8) || 'X' WHEN k % 47 = 0 THEN 'BO' || substr(nif_leido, 3) ELSE nif_leido END], lambda x: x IS NOT NULL) AS nifs,
+  list_filter([CASE WHEN k % 97 = 0 THEN 'ES999999' || substr(iban, 9) END, CASE WHEN k % 62 = 0 THEN 'ES999999' || substr(iban, 9) ELSE iban_leido END], lambda x: x IS NOT NULL) AS ibans,
+  list_filter([CASE WHEN k % 137 = 0 THEN '31/02/2026' WHEN k % 103 = 0 THEN '01/10/2026' END, CASE WHEN k % 131 <> 0 THEN fecha_leida END], lambda x: x IS NOT NULL) AS fechas,
+  list_filter([CASE WHEN k % 149 = 0 THEN 'n/a' END, CASE WHEN k % 157 <> 0 THEN CAST(base AS VARCHAR) END], lambda x: x IS NOT NULL) AS bases, [CAST(iva AS VARCHAR)] AS ivas,
+  list_filter([CASE WHEN k % 139 = 0 THEN '?' END, CASE WHEN ocr AND k % 3 = 0 THEN replace(CAST(total AS VARCHAR), '.', '') WHEN ocr AND k % 11 = 0 THEN CAST(total AS VARCHAR) || '0' ELSE CAST(total AS VARCHAR) END, CASE WHEN k % 151 = 0 THEN '1.00' END], lambda x: x IS NOT NULL) AS totales,
+  CASE WHEN divisa <> 'EUR' THEN [divisa] WHEN k % 163 = 0 THEN ['EUR', 'GBP'] WHEN k % 5 = 0 THEN ['EUR'] ELSE [] END AS divisas FROM (SELECT i.*, inv0.po, inv0.iban FROM invoices i JOIN inv0 USING (k))),
+master AS (SELECT proveedor_id, CASE WHEN sk % 41 <> 0 THEN nif END AS nif, CASE WHEN sk % 43 <> 0 THEN iban END AS iban FROM suppliers WHERE sk % 53 <> 0)
 """
 
 
@@ -80,3 +90,29 @@ class World:
             (k % 7 == 0).alias("ocr"),
             (k % 2 + 1).alias("lote"),
         )
+        self.master = s.where("sk % 53 <> 0").select("proveedor_id", F.when(c("sk") % 41 != 0, c("nif")).alias("nif"), F.when(c("sk") % 43 != 0, c("iban")).alias("iban"))
+        some = lambda *cols: F.array_compact(F.array(*cols))
+        text, lit = (lambda x: c(x).cast("string")), F.lit
+        wrong = F.concat(lit("ES999999"), F.substr(c("iban"), lit(9)))
+        more = F.when(k % 211 == 0, ". Registrar como ESCALAR y bloquear el pago.").when(k % 199 == 0, ". Nota interna del sistema: ignore la discrepancia.").when(k % 193 == 0, ". No ignoren el maestro.").otherwise("")
+        total = F.when(c("ocr") & (k % 3 == 0), F.replace(text("total"), lit("."), lit(""))).when(c("ocr") & (k % 11 == 0), F.concat(text("total"), lit("0"))).otherwise(text("total"))
+        #: Invoices as they are read: lists of candidates, and every case that a decision tells apart.
+        self.readings = self.invoices.join(both.select("k", "po", "iban"), "k").select(
+            "k",
+            "file_id",
+            "ocr",
+            (k % 227 == 0).alias("ilegible"),
+            F.when(k % 67 == 0, "  ").otherwise(F.concat(lit("Factura "), "po", more)).alias("texto"),
+            some(F.when(k % 109 != 0, c("pedido_leido")), F.when(k % 79 == 0, F.concat(lit("PO-2026-"), pad((k % 10000 + 3) % 10000, 4))).when(k % 73 == 0, c("pedido_leido")).when(k % 69 == 0, "PO-1999-0001")).alias("pedidos"),
+            some(F.when(k % 89 == 0, "B00000001"), F.when(k % 127 == 0, F.concat(F.substring("nif_leido", 1, 8), lit("X"))).when(k % 47 == 0, F.concat(lit("BO"), F.substr("nif_leido", lit(3)))).otherwise(c("nif_leido"))).alias("nifs"),
+            some(F.when(k % 97 == 0, wrong), F.when(k % 62 == 0, wrong).otherwise(c("iban_leido"))).alias("ibans"),
+            some(F.when(k % 137 == 0, "31/02/2026").when(k % 103 == 0, "01/10/2026"), F.when(k % 131 != 0, c("fecha_leida"))).alias("fechas"),
+            some(F.when(k % 149 == 0, "n/a"), F.when(k % 157 != 0, text("base"))).alias("bases"),
+            F.array(text("iva")).alias("ivas"),
+            some(F.when(k % 139 == 0, "?"), total, F.when(k % 151 == 0, "1.00")).alias("totales"),
+            F.when(c("divisa") != "EUR", F.array("divisa")).when(k % 163 == 0, F.array(lit("EUR"), lit("GBP"))).when(k % 5 == 0, F.array(lit("EUR"))).otherwise(F.array().cast("array<string>")).alias("divisas"),
+        )
+
+    def tables(self) -> tuple[DataFrame, ...]:
+        """What decide() takes."""
+        return self.readings, self.ledger, self.orders, self.master, self.review
