@@ -10,10 +10,11 @@ the anchors into blocks of about BLOCK_ANCHORS. Every block of anchors meets
 every block of rows once, in a task that holds one block of each: a stated set
 of queries against all rows. There every label has a ball tree of its own. Of
 a node with centre c and radius r, the inner products with an anchor q lie
-between c.q - r|q| and c.q + r|q|. Nodes are opened from the highest upper
-bound on; a node is left out if its bounds miss the score window, or if its
-upper bound is strictly beneath the kth score found so far (an equal one may
-hold a smaller vec_id). Each task gives at most k rows for an anchor and
+between c.q - r|q| and c.q + r|q|. A node whose bounds miss the score window
+is left out with all below it, level by level; the leaves that are left are
+scored from the highest upper bound on, a few more at a time, until the next
+bound is strictly beneath the kth score found so far (an equal one may hold a
+smaller vec_id). Each task gives at most k rows for an anchor and
 window; the best of these are the result, so nothing is approximate.
 
 Hashed blocks are equal in size whatever the vectors and labels are: a vector
@@ -65,49 +66,39 @@ def quantised(vectors: DataFrame, label: Column, scale: int) -> DataFrame:
     return once.select("vec_id", "r.label", "r.v")
 
 
-class Ball:
-    __slots__ = ("at", "kids", "rows")
-
-    def __init__(self, at: int, rows: np.ndarray | None, kids: tuple):
-        self.at, self.rows, self.kids = at, rows, kids
-
-
 class Forest:
-    """A ball tree for each label over rows of one block; centres and radii of all nodes are in two arrays."""
+    """A ball tree for each label over rows of one block, held in arrays: nodes by level, parents before children; rows in the order of leaves, by vec_id within a leaf."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, v: np.ndarray, leaf: int = LEAF):
         order = np.lexsort((ids, labels))
-        self.ids, self.labels, self.v = ids[order], labels[order], v[order]
-        centres, radii = [], []
-        self.roots: dict[int, Ball] = {}
-        starts = np.flatnonzero(np.r_[True, self.labels[1:] != self.labels[:-1]]) if len(ids) else np.array([], int)
-        for a, b in zip(starts, np.r_[starts[1:], len(ids)]):
-            self.roots[int(self.labels[a])] = self._grown(np.arange(a, b), centres, radii, leaf)
-        self.centres, self.radii = np.array(centres), np.array(radii)
-
-    def _grown(self, rows: np.ndarray, centres: list, radii: list, leaf: int) -> Ball:
-        # An explicit stack: the depth of a tree is not bounded by Python's.
-        root = Ball(-1, rows, ())
-        todo = [root]
-        while todo:
-            node = todo.pop()
-            x = self.v[node.rows]
-            centre = x.mean(0)
-            away = ((x - centre) ** 2).sum(1)
-            node.at = len(centres)
-            centres.append(centre)
-            radii.append(math.sqrt(away.max()) * (1 + 1e-9))
-            if len(node.rows) <= leaf or radii[-1] == 0:
-                continue
-            far = x[away.argmax()]
-            other = x[((x - far) ** 2).sum(1).argmax()]
-            along = x @ (other - far)
-            half = np.argsort(along, kind="stable")
-            cut = len(half) // 2
-            node.kids = (Ball(-1, node.rows[np.sort(half[:cut])], ()), Ball(-1, node.rows[np.sort(half[cut:])], ()))
-            node.rows = None
-            todo.extend(node.kids)
-        return root
+        ids, labels, v = ids[order], labels[order], v[order]
+        starts = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]]) if len(ids) else np.array([], int)
+        level = [(-1, np.arange(a, b)) for a, b in zip(starts, np.r_[starts[1:], len(ids)])]  # a root for each label
+        centres, radii, parents, self.levels, leaves = [], [], [], [], []
+        while level:
+            self.levels.append(np.arange(len(parents), len(parents) + len(level)))
+            below = []
+            for parent, rows in level:
+                x, at = v[rows], len(parents)
+                centre = x.mean(0)
+                away = ((x - centre) ** 2).sum(1)
+                parents.append(parent)
+                centres.append(centre)
+                radii.append(math.sqrt(away.max()) * (1 + 1e-9))
+                if len(rows) <= leaf or radii[-1] == 0:
+                    leaves.append((at, rows))
+                    continue
+                far = x[away.argmax()]
+                half = np.argsort(x @ (x[((x - far) ** 2).sum(1).argmax()] - far), kind="stable")
+                below += [(at, rows[np.sort(half[: len(half) // 2])]), (at, rows[np.sort(half[len(half) // 2 :])])]
+            level = below
+        self.centres, self.radii, self.parents = np.array(centres), np.array(radii), np.array(parents, int)
+        dealt = np.concatenate([rows for _, rows in leaves]) if leaves else np.array([], int)
+        self.ids, self.v = ids[dealt], v[dealt]
+        self.leaves, self.sizes = np.array([at for at, _ in leaves], int), np.array([len(rows) for _, rows in leaves], int)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.leaf_labels = np.array([labels[rows[0]] for _, rows in leaves])
+        self.visited = 0  # leaves whose rows were scored
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of every node and each of the queries q, the least and the greatest inner product it can hold."""
@@ -116,36 +107,32 @@ class Forest:
         slack = 1 + 1e-9 * (size * np.sqrt((self.centres**2).sum(1)) + reach)  # rounding
         return mid - reach - slack, mid + reach + slack
 
-    def best(self, q: np.ndarray, low: np.ndarray, high: np.ndarray, roots: list[Ball], k: int, window: tuple[float, float], omit: int, memo: dict) -> list[tuple[float, int]]:
-        """The k rows (score, vec_id) with the highest scores within the window, ties to the smaller vec_id."""
-        inside = lambda n: high[n.at] >= window[0] and low[n.at] <= window[1]
-        heap = [(-high[n.at], n.at, n) for n in roots if inside(n)]
-        heapq.heapify(heap)
-        found: list[tuple[float, int]] = []  # a heap of (score, -vec_id): its first is the kth
-        while heap:
-            upper, at, node = heapq.heappop(heap)
-            if len(found) == k and -upper < found[0][0]:
+    def best(self, q: np.ndarray, low: np.ndarray, high: np.ndarray, label: int, same: bool, k: int, window: tuple[float, float], omit: int) -> list[tuple[float, int]]:
+        """The k rows (score, vec_id) of the same label, or of all others, with the highest scores within the window, ties to the smaller vec_id."""
+        opened = (high >= window[0]) & (low <= window[1])
+        for level in self.levels[1:]:
+            opened[level] &= opened[self.parents[level]]
+        some = np.flatnonzero(opened[self.leaves] & ((self.leaf_labels == label) == same))
+        upper = high[self.leaves[some]]
+        order = np.argsort(-upper, kind="stable")
+        some, upper = some[order], upper[order]
+        scores, ids, at, step = np.empty(0), np.empty(0, np.int64), 0, 8
+        while at < len(some):
+            # Only what is strictly beneath the kth score is left out.
+            end = len(some) if len(ids) < k else int(np.searchsorted(-upper, -scores[-1], side="right"))
+            part = some[at : min(at + step, end)]
+            if not len(part):
                 break
-            for kid in node.kids:
-                if inside(kid):
-                    heapq.heappush(heap, (-high[kid.at], kid.at, kid))
-            if node.rows is None:
-                continue
-            if at not in memo:
-                memo[at] = self.v[node.rows] @ q
-            scores = memo[at]
-            keep = (scores >= max(window[0], found[0][0] if len(found) == k else window[0])) & (scores <= window[1])
-            near = np.flatnonzero(keep)
-            if len(near) > k + 1:  # rows of a leaf are sorted by vec_id, so a stable sort settles ties
-                near = near[np.argsort(-scores[near], kind="stable")[: k + 1]]
-            for s, i in zip(scores[near].tolist(), self.ids[node.rows[near]].tolist()):
-                if i == omit:
-                    continue
-                if len(found) < k:
-                    heapq.heappush(found, (s, -i))
-                elif (s, -i) > found[0]:
-                    heapq.heapreplace(found, (s, -i))
-        return [(s, -i) for s, i in found]
+            self.visited += len(part)
+            n = self.sizes[part]
+            rows = np.repeat(self.starts[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            s, i = self.v[rows] @ q, self.ids[rows]
+            fit = (s >= (window[0] if len(ids) < k else max(window[0], scores[-1]))) & (s <= window[1]) & (i != omit)
+            s, i = np.r_[scores, s[fit]], np.r_[ids, i[fit]]
+            first = np.lexsort((i, -s))[:k]
+            scores, ids = s[first], i[first]
+            at, step = at + step, 16
+        return list(zip(scores.tolist(), ids.tolist()))
 
 
 def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
@@ -207,13 +194,10 @@ def _answers(forest, ids, labels, x, windows, k, same, exact) -> list[tuple]:
         return out
     low, high = forest.bounds(x) if exact else (None, None)
     for j, (a, label) in enumerate(zip(ids.tolist(), labels.tolist())):
-        if exact:
-            roots = [forest.roots[label]] if same and label in forest.roots else [] if same else [r for name, r in forest.roots.items() if name != label]
-        memo: dict = {}
         for w in windows[j]:
             ends = (w["low"], w["high"])
             if exact:
-                best = forest.best(x[j], low[j], high[j], roots, k, ends, a, memo)
+                best = forest.best(x[j], low[j], high[j], label, same, k, ends, a)
             else:
                 # Shares of whole numbers are taken as whole numbers again.
                 p = w["positive_score"]

@@ -75,11 +75,10 @@ def test_ball_tree_prunes():
     x = np.floor((g.standard_normal((50, 16)) * 4)[g.integers(0, 50, 8000)] * 256 + g.standard_normal((8000, 16)) * 20)
     forest = hard_negatives.Forest(np.arange(8000), np.zeros(8000, int), x)
     low, high = forest.bounds(x[:1])
-    memo: dict = {}
-    best = forest.best(x[0], low[0], high[0], list(forest.roots.values()), 10, (-math.inf, math.inf), -1, memo)
+    best = forest.best(x[0], low[0], high[0], 0, True, 10, (-math.inf, math.inf), -1)
     s = x @ x[0]
-    assert sorted(best, key=lambda r: (-r[0], r[1])) == [(s[i], i) for i in np.lexsort((np.arange(8000), -s))[:10]]
-    assert len(memo) < 0.3 * (len(forest.centres) + 1) / 2  # of the leaves
+    assert best == [(s[i], i) for i in np.lexsort((np.arange(8000), -s))[:10]]
+    assert forest.visited < 0.3 * len(forest.leaves)
 
 
 TEXTS = ["the cat sat on the mat " * 3, "", None, "Ärger über Öl, straße 42! " * 8, "  \n", "x" * 5000, "a b c d e f g h i j k l m n o p q r s t u v w x y z", "solve the task: the answer is 42 " * 5]
