@@ -105,7 +105,11 @@ class Forest:
         size = np.sqrt((q**2).sum(1))[:, None]
         mid, reach = q @ self.centres.T, size * self.radii
         slack = 1 + 1e-9 * (size * np.sqrt((self.centres**2).sum(1)) + reach)  # rounding
-        return mid - reach - slack, mid + reach + slack
+        low, high = mid - reach - slack, mid + reach + slack
+        for level in self.levels[1:]:  # a node lies within its parent as well
+            up = self.parents[level]
+            low[:, level], high[:, level] = np.maximum(low[:, level], low[:, up]), np.minimum(high[:, level], high[:, up])
+        return low, high
 
     def best(self, q: np.ndarray, low: np.ndarray, high: np.ndarray, label: int, same: bool, k: int, window: tuple[float, float], omit: int) -> list[tuple[float, int]]:
         """The k rows (score, vec_id) of the same label, or of all others, with the highest scores within the window, ties to the smaller vec_id."""
