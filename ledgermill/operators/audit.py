@@ -65,22 +65,27 @@ def chained(events: DataFrame, run: str, order: str, columns: tuple[str, ...]) -
     """
     rows = events.withColumn("seq", (F.row_number().over(Window.partitionBy(run).orderBy(order)) - 1).cast("long"))
     head, tail = payload(*columns)
-    rows = rows.withColumn("_head", head).withColumn("_tail", tail).sortWithinPartitions(run, "seq")
+    return linked(rows.withColumn("_head", head).withColumn("_tail", tail).withColumn("_from", F.when(F.col("seq") == 0, F.lit(GENESIS))), run)
+
+
+def linked(rows: DataFrame, run: str) -> DataFrame:
+    """rows with hash_prev and hash. rows: seq, _head and _tail (what is hashed around hash_prev), and _from: at the first row of a run, the hash that it follows. All rows of a run are in one partition."""
+    rows = rows.sortWithinPartitions(run, "seq")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = GENESIS
         for b in batches:
             prev, own = [], []
-            heads, tails = b.column(b.schema.get_field_index("_head")).to_pylist(), b.column(b.schema.get_field_index("_tail")).to_pylist()
-            for n, h, t in zip(b.column(b.schema.get_field_index("seq")).to_pylist(), heads, tails, strict=True):
-                last = GENESIS if n == 0 else last
+            heads, tails, begins = (b.column(b.schema.get_field_index(n)).to_pylist() for n in ("_head", "_tail", "_from"))
+            for h, t, begin in zip(heads, tails, begins, strict=True):
+                last = begin or last
                 prev.append(last)
                 last = hashlib.sha256(f"{h}{last}{t}".encode()).hexdigest()
                 own.append(last)
-            kept = [i for i, n in enumerate(b.schema.names) if n not in ("_head", "_tail")]
+            kept = [i for i, n in enumerate(b.schema.names) if n not in ("_head", "_tail", "_from")]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(prev, pa.string()), pa.array(own, pa.string())], names=[*(b.schema.names[i] for i in kept), "hash_prev", "hash"])
 
-    schema = rows.drop("_head", "_tail").withColumn("hash_prev", F.lit("")).withColumn("hash", F.lit("")).schema
+    schema = rows.drop("_head", "_tail", "_from").withColumn("hash_prev", F.lit("")).withColumn("hash", F.lit("")).schema
     return rows.mapInArrow(fold, schema)
 
 
@@ -107,6 +112,10 @@ FIELDS = ("seq", "ts", "tipo", "file_id", "datos", "hash_prev", "hash")  # fixed
 _LINE = "kind string, seq long, hash string, hash_prev string, good string, canonical boolean"
 
 
+#: Lines of a log that one task looks at in their order.
+RANGE_LINES = 10_000
+
+
 def _line(text: str) -> tuple:
     if not text.strip():
         return "linea_vacia", None, None, None, None, None
@@ -125,7 +134,7 @@ def _line(text: str) -> tuple:
 def verified_lines(lines: DataFrame, log: str = "log", number: str = "num", text: str = "line", seals: DataFrame | None = None) -> DataFrame:
     """log, num and problem of every defect of logs as written, one event a line: linea_vacia, json_invalido, evento_invalido, hash_roto, cadena_rota (not after a line that can't be read), seq_discontinuo (lines lost count), formato_no_canonico, sello_distinto (seals: log, seal).
 
-    Lines are read one by one; what an event follows comes from windows over its log.
+    Lines are read one by one; what an event follows comes from windows over RANGE_LINES lines and from what the ranges of its log carry on.
     """
 
     @F.pandas_udf(_LINE)
@@ -135,13 +144,21 @@ def verified_lines(lines: DataFrame, log: str = "log", number: str = "num", text
     c = F.col
     rows = lines.select(c(log).alias("log"), c(number).alias("num"), read(c(text)).alias("e")).select("log", "num", "e.*")
     event, lost = c("kind") == "evento", c("kind").isin("json_invalido", "evento_invalido")
-    w = Window.partitionBy("log").orderBy("num")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("lost", F.coalesce(F.sum(lost.cast("long")).over(past), F.lit(0)))
-    rows = rows.withColumn("lost_then", F.coalesce(F.last(F.when(event, c("lost")), ignorenulls=True).over(past), F.lit(0)))
-    gap = c("lost") - c("lost_then")
-    prev = F.coalesce(F.last(F.when(event, c("hash")), ignorenulls=True).over(past), F.lit(GENESIS))
-    expected = F.coalesce(F.last(F.when(event, c("seq")), ignorenulls=True).over(past), F.lit(-1)) + 1 + gap
+    # What an event follows is found within its range of lines, and else carried over from the ranges before.
+    rows = rows.withColumn("range", F.floor(c("num") / RANGE_LINES))
+    inside = Window.partitionBy("log", "range").orderBy("num").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("lost", F.coalesce(F.sum(lost.cast("long")).over(inside), F.lit(0)))
+    last = lambda column, over: F.last(F.when(event, column), ignorenulls=True).over(over)
+    rows = rows.withColumns({"p_lost": last(c("lost"), inside), "p_hash": last(c("hash"), inside), "p_seq": last(c("seq"), inside)})
+    held = lambda column: F.max_by(column, F.when(event & column.isNotNull(), c("num")))
+    ends = rows.groupBy("log", "range").agg(F.sum(lost.cast("long")).alias("e_sum"), held(c("lost")).alias("e_lost"), held(c("hash")).alias("e_hash"), held(c("seq")).alias("e_seq"))
+    before = Window.partitionBy("log").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("r_sum", F.coalesce(F.sum("e_sum").over(before), F.lit(0)))
+    carried = {"r_hash": F.last("e_hash", ignorenulls=True).over(before), "r_seq": F.last("e_seq", ignorenulls=True).over(before), "r_lost": F.last(c("r_sum") + c("e_lost"), ignorenulls=True).over(before)}
+    rows = rows.join(ends.withColumns(carried).select("log", "range", "r_sum", *carried), ["log", "range"])
+    gap = c("r_sum") + c("lost") - F.coalesce(c("r_sum") + c("p_lost"), c("r_lost"), F.lit(0))
+    prev = F.coalesce("p_hash", "r_hash", F.lit(GENESIS))
+    expected = F.coalesce("p_seq", "r_seq", F.lit(-1)) + 1 + gap
     found = F.when(~event, F.array("kind")).otherwise(
         F.array(
             F.when(~c("good").eqNullSafe(c("hash")), "hash_roto"),
@@ -157,6 +174,21 @@ def verified_lines(lines: DataFrame, log: str = "log", number: str = "num", text
     return out
 
 
+def verified_files(files: DataFrame, expected: DataFrame | None = None, seals: DataFrame | None = None) -> DataFrame:
+    """log, num and problem of every defect of log files (path, content as bytes; log is the path): those of verified_lines, and no_existe (expected: path), ilegible (no UTF-8) and truncado (no line break at the end; num is the last line, which is read all the same). seals: log, seal."""
+    c = F.col
+    text = F.when(F.is_valid_utf8(c("content").cast("string")), c("content").cast("string"))
+    rows = files.select(c("path").alias("log"), text.alias("text"), F.split(text, "\n").alias("lines"))
+    cut = (c("text") != "") & ~F.endswith("text", F.lit("\n"))
+    whole = F.when(c("text").isNull(), F.struct(F.lit(0).alias("num"), F.lit("ilegible").alias("problem"))).when(cut, F.struct(F.size("lines").alias("num"), F.lit("truncado").alias("problem")))
+    out = rows.select("log", whole.alias("p")).where("p is not null").select("log", "p.num", "p.problem")
+    lines = rows.select("log", F.posexplode(F.expr("if(text = '', array(), if(endswith(text, '\n'), slice(lines, 1, size(lines) - 1), lines))")).alias("num", "line"))
+    out = out.unionByName(verified_lines(lines.withColumn("num", c("num") + 1), seals=seals))
+    if expected is not None:
+        out = out.unionByName(expected.select(c("path").alias("log")).join(files.select(c("path").alias("log")), "log", "left_anti").select("log", F.lit(0).alias("num"), F.lit("no_existe").alias("problem")))
+    return out
+
+
 def seal(chain: DataFrame, run: str) -> DataFrame:
     """The head hash of each run and its number of events."""
     return chain.groupBy(run).agg(F.max_by("hash", "seq").alias("seal"), F.count("*").alias("n_events"))
