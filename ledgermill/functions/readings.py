@@ -45,13 +45,13 @@ def _decimals(plain: Column) -> Column:
     return F.when(F.contains(plain, F.lit(".")), F.length(F.substring_index(plain, ".", -1))).otherwise(0)
 
 
-def amounts_in(text: Column) -> Column:
+def plausible_amounts(text: Column) -> Column:
     """Plausible amounts of a text, sorted, repeated ones kept (that a sum comes twice is evidence): with a decimal mark and at most two decimals, from 1 to ten million, the first 24. Empty for null."""
     values = F.transform(F.filter(_written(text), lambda w: _decimals(w["plain"]) <= 2), lambda w: w["plain"].try_cast("double"))
     return F.coalesce(F.slice(F.array_sort(F.filter(values, lambda v: v.between(LEAST, GREATEST))), 1, SHOWN), F.array().cast("array<double>"))
 
 
-def malformed_in(text: Column) -> Column:
+def run_together(text: Column) -> Column:
     """Numbers of more than two decimals (two amounts run together), distinct and sorted. Empty for null."""
     found = F.transform(F.filter(_written(text), lambda w: _decimals(w["plain"]) > 2), lambda w: w["raw"])
     return F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<string>"))

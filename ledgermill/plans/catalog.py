@@ -574,14 +574,6 @@ def distribution_fingerprint(spark, sf_dir):
     return reports.fingerprints(o, ["o_orderstatus", "o_orderpriority"], "o_orderkey")
 
 
-@query("SELECT l.quality, round(sum(d.n_chars * l.toxic) * 1.0 / sum(d.n_chars), 9) AS weighted, round(CASE WHEN sum(l.toxic) = 0 THEN 0 ELSE 2.0 * sum(l.toxic * (d.n_chars % 2)) / (sum(l.toxic) + sum(d.n_chars % 2)) END, 9) AS f1 FROM labels l JOIN documents d USING (doc_id) GROUP BY 1")
-def weighted_error_and_f1(spark, sf_dir):
-    d = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    n, t = F.col("n_chars"), F.col("toxic")
-    f1 = F.when(F.sum(t) == 0, 0.0).otherwise(2.0 * F.sum(t * (n % 2)) / (F.sum(t) + F.sum(n % 2)))
-    return d.groupBy("quality").agg(F.round(F.sum(n * t) / F.sum(n), 9).alias("weighted"), F.round(f1, 9).alias("f1"))
-
-
 @query("SELECT k, field, missing, sample FROM (SELECT 1 AS k, 'lang' AS field, count(*) FILTER (lang = 'en') AS missing, array_to_string(list_slice(list(CAST(doc_id AS VARCHAR) ORDER BY doc_id) FILTER (lang = 'en'), 1, 3), ',') AS sample FROM documents UNION ALL SELECT 1, 'source', count(*) FILTER (source = 'src0'), array_to_string(list_slice(list(CAST(doc_id AS VARCHAR) ORDER BY doc_id) FILTER (source = 'src0'), 1, 3), ',') FROM documents)")
 def field_null_census(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", F.nullif("lang", F.lit("en")).alias("lang"), F.nullif("source", F.lit("src0")).alias("source"))

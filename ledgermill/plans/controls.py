@@ -163,7 +163,7 @@ SELECT l_orderkey, l_linenumber, 3 AS n_amounts, round(2 * p + q + 0.5, 2) AS to
 def scanned_amounts(spark, sf_dir):
     li, price = _t(spark, sf_dir, "lineitem"), F.translate(F.format_number("l_extendedprice", 2), ",.", ".,")
     text = F.concat(F.lit("Base "), price, F.lit(" IVA 21 total "), price, F.lit(" fecha 11/04/2026 neto "), F.col("l_quantity").cast("int"), F.lit(".5 mal "), F.replace(price, F.lit("."), F.lit("")), F.lit("121"))
-    rows = li.select("l_orderkey", "l_linenumber", readings.amounts_in(text).alias("a"), readings.malformed_in(text).alias("m"))
+    rows = li.select("l_orderkey", "l_linenumber", readings.plausible_amounts(text).alias("a"), readings.run_together(text).alias("m"))
     return rows.select("l_orderkey", "l_linenumber", F.size("a").alias("n_amounts"), F.round(F.aggregate("a", F.lit(0.0), lambda x, y: x + y), 2).alias("total"), F.get("a", F.lit(0)).alias("least"), F.array_join("m", ";").alias("malformed"))
 
 

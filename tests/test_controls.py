@@ -41,12 +41,12 @@ def one(spark, text, f):
     ],
 )
 def test_amounts(spark, text, amounts, malformed):
-    assert one(spark, text, readings.amounts_in) == amounts
-    assert one(spark, text, readings.malformed_in) == malformed
+    assert one(spark, text, readings.plausible_amounts) == amounts
+    assert one(spark, text, readings.run_together) == malformed
 
 
 def test_amounts_shown(spark):
-    assert one(spark, " ".join(["5,00"] * 30 + ["9,00"]), readings.amounts_in) == [5.0] * 24
+    assert one(spark, " ".join(["5,00"] * 30 + ["9,00"]), readings.plausible_amounts) == [5.0] * 24
 
 
 @pytest.mark.parametrize(("text", "out"), [("1.234.56", "1.234,56"), ("1,234,56 y 12,345,678,90", "1.234,56 y 12.345.678,90"), ("1.234,56", "1.234,56"), ("1,234.56", "1,234.56"), ("1.234.567", "1.234.567"), ("", ""), (None, None)])
