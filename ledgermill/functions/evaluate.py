@@ -63,3 +63,41 @@ def resembling(values: Column, true: Column) -> Column:
         return pd.Series([sum(any(like(v, r) for r in rs) for v in vs) for vs, rs in zip(got, real)])
 
     return run(values, true)
+
+
+#: From which share of matching characters on two lines are the same content, and the least length that is content at all.
+SAME_LINE, LEAST_CONTENT = 0.6, 3
+
+
+def lines_of(text: Column) -> Column:
+    """Lines that aren't blank, without white space around them."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+
+
+def only_in(text: Column, other: Column) -> Column:
+    """Lines of text whose content other doesn't have, in order: no line of other is alike (SAME_LINE), and without spaces and punctuation they are in no part of it.
+
+    Lines that other has as they are, fragments, and those that its text holds go by built-in functions; the rest is compared, bounded by length and by common characters before blocks are matched.
+    """
+    blob = alnum(F.array_join(lines_of(other), ""))
+    have = lines_of(other)
+    rest = F.filter(lines_of(text), lambda x: ~F.array_contains(have, x) & (F.length(alnum(x)) >= LEAST_CONTENT) & ~F.contains(blob, alnum(x)))
+
+    @F.pandas_udf("array<string>")
+    def run(some: pd.Series, others: pd.Series) -> pd.Series:
+        def unlike(line, m):
+            m.set_seq1(line)
+            return m.real_quick_ratio() < SAME_LINE or m.quick_ratio() < SAME_LINE or m.ratio() < SAME_LINE
+
+        def one(a, b):
+            left = list(a)
+            for other in b:  # what difflib prepares is prepared once a line of other
+                if not left:
+                    break
+                m = difflib.SequenceMatcher(None, "", other, autojunk=False)
+                left = [x for x in left if unlike(x, m)]
+            return left
+
+        return pd.Series([one(a, b) for a, b in zip(some, others)])
+
+    return F.when(F.size(rest) > 0, run(rest, have)).otherwise(F.array().cast("array<string>"))

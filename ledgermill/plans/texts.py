@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermill.operators import anchors, lines, reports
+from ledgermill.functions import evaluate
+from ledgermill.operators import anchors, ladder, lines, reports
 from ledgermill.plans.catalog import query
 from ledgermill.plans.world import SQL as WORLD
 from ledgermill.plans.world import World
@@ -105,3 +106,33 @@ def weighted_error_and_f1(spark, sf_dir):
     right = F.concat(lit("Fecha "), "f", lit(" Total "), "m")
     second = page(1, F.when(k % 5 == 0, "").otherwise(right), F.when(k % 7 == 0, F.concat(lit("Total "), "m", lit(" Fecha "), "f")).otherwise(F.concat(lit("Fecha "), "f", lit(" Total 1,11"))))
     return reports.reading_scores(i.select("file_id", F.inline(F.array(first, second)))).withColumn("missing", F.array_join("missing", " "))
+
+
+@query(
+    WORLD
+    + """, x AS (SELECT k, file_id, (k % 10) / 10.0 AS q, CASE WHEN k % 3 = 0 THEN 'cache ' || k END AS cache, CASE WHEN k % 7 <> 0 THEN 'local ' || k END AS local, (k % 11) / 11.0 AS ql, k % 13 = 0 AS bad, CASE WHEN k % 17 <> 0 THEN 'nube ' || k END AS nube, (k % 5) / 5.0 AS qn FROM invoices),
+y AS (SELECT *, CASE WHEN local IS NULL THEN 0 ELSE ql END AS q0, q < 0.6 AND cache IS NULL AND (local IS NULL OR ql < 0.6 OR bad) AS weak FROM x),
+z AS (SELECT *, CASE WHEN weak THEN row_number() OVER (PARTITION BY weak ORDER BY k) END AS place FROM y), v AS (SELECT *, coalesce(place <= 250, false) AS asked, coalesce(place <= 250, false) AND nube IS NOT NULL AND qn > q0 AS better FROM z)
+SELECT file_id, CASE WHEN q >= 0.6 THEN 'capa_texto' WHEN cache IS NOT NULL THEN 'cache_ocr' WHEN better THEN 'vision_nube' WHEN local IS NULL THEN 'degradado' ELSE 'vision_ocr' END AS escalon, CASE WHEN q >= 0.6 THEN 'capa ' || k WHEN cache IS NOT NULL THEN cache WHEN better THEN nube ELSE coalesce(local, '') END AS texto,
+  CASE WHEN q >= 0.6 OR cache IS NOT NULL THEN q WHEN better THEN greatest(q, qn) WHEN local IS NULL THEN q ELSE greatest(q, q0) END AS calidad, CASE WHEN better OR NOT weak THEN '' WHEN NOT asked THEN 'presupuesto agotado' WHEN nube IS NULL THEN 'sin respuesta' ELSE 'sin mejora' END AS error FROM v"""
+)
+def reading_ladder(spark, sf_dir):
+    k, c = F.col("k"), F.col
+    named = lambda x: F.concat(F.lit(f"{x} "), k.cast("string"))
+    rows = World(spark, sf_dir).invoices.select("file_id", k.alias("seq"), named("capa").alias("capa"), (k % 10 / 10).alias("q_capa"), F.when(k % 3 == 0, named("cache")).alias("cache"), F.when(k % 7 != 0, named("local")).alias("local"), (k % 11 / 11).alias("q_local"), (k % 13 == 0).alias("ilegible"), F.when(k % 17 != 0, named("nube")).alias("nube"), (k % 5 / 5).alias("q_nube"))
+    return ladder.ladder(rows, 250).select("file_id", "escalon", "texto", c("calidad").cast("double").alias("calidad"), "error")
+
+
+@query(
+    WORLD
+    + """, x AS (SELECT k, file_id, po, CAST(base AS VARCHAR) AS b FROM invoices JOIN (SELECT k, po FROM inv0) USING (k))
+SELECT file_id, array_to_string(list_filter([CASE WHEN k % 3 = 0 THEN 'zzz' || k || 'zzz' END, CASE WHEN k % 4 = 0 THEN 'Gracias por su visita' END], lambda l: l IS NOT NULL), '|') AS solo_a, CASE WHEN k % 5 = 0 THEN 'WWWW QQQQ WWWW' ELSE '' END AS solo_b FROM x"""
+)
+def exclusive_lines(spark, sf_dir):
+    w, lit, k = World(spark, sf_dir), F.lit, F.col("k")
+    i = w.invoices.select("k", "file_id", F.col("base").cast("string").alias("b")).join(w.truth.select("k", "po"), "k")
+    # Both have order and amount: misread, on one line or two, with other punctuation.
+    a = F.concat_ws("\n", F.concat(lit(" Pedido "), "po"), F.concat(lit("Servicio mensual "), "b"), F.when(k % 3 == 0, F.concat(lit("zzz"), k.cast("string"), lit("zzz"))), F.when(k % 4 == 0, lit("Gracias por su visita")), lit("--"))
+    b = F.concat_ws("\r\n", F.concat(lit("Pedldo: "), "po"), lit("Servicio mensual"), F.replace("b", lit("."), lit(",")), F.when(k % 5 == 0, lit("WWWW QQQQ WWWW")))
+    both = i.select("file_id", a.alias("a"), b.alias("b"))
+    return both.select("file_id", F.array_join(evaluate.only_in(F.col("a"), F.col("b")), "|").alias("solo_a"), F.array_join(evaluate.only_in(F.col("b"), F.col("a")), "|").alias("solo_b"))

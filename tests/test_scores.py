@@ -57,3 +57,49 @@ def test_scores_equal_plain_python(spark):
         mine = (x.chars, x.cer, x.cer_sorted, x.checked, x.produced, x.recall, x.precision, x.f1, x.missing)
         near = lambda a, b: a == b or (isinstance(a, float) and isinstance(b, float) and abs(a - b) < 2e-4)  # noqa: E731  rounding of halves
         assert all(near(a, b) for a, b in zip(mine, want)), (f, mine, want)
+
+
+def test_lines_of_one_reader_alone(spark):
+    from pyspark.sql import functions as F
+
+    from ledgermill.functions import evaluate
+
+    r = random.Random(9)
+    bits = ["Servicio mensual", "460.00", "460,00", "Pedido PO-1", "Pedldo P0-1", "", "  ", "ab", "Gracias", "GRACIAS!", "x" * 30, "Ñandú 7"]
+    rows = [(i, *("\n".join(" ".join(r.choice(bits) for _ in range(r.randrange(1, 3))) for _ in range(r.randrange(0, 8))) for _ in range(2))) for i in range(200)] + [(900, None, "a"), (901, "abc", None), (902, "", "")]
+    got = {x.i: x.o for x in spark.createDataFrame(rows, "i int, a string, b string").select("i", evaluate.only_in(F.col("a"), F.col("b")).alias("o")).collect()}
+    norm = lambda s: "".join(c for c in s.lower() if c.isalnum())
+    lines = lambda t: [x.strip() for x in (t or "").splitlines() if x.strip()]
+    for i, a, b in rows:
+        others, blob = lines(b), norm("".join(lines(b)))
+        want = [x for x in lines(a) if all(difflib.SequenceMatcher(None, x, o, autojunk=False).ratio() < 0.6 for o in others) and len(norm(x)) >= 3 and norm(x) not in blob]
+        assert got[i] == want, (a, b)
+
+
+def test_ladder_is_the_same_at_any_partitioning(spark, monkeypatch):
+    from ledgermill.operators import ladder, tables
+
+    r = random.Random(4)
+    some = lambda x: r.choice([None, x])
+    rows = [(f"f{i}", i % 50, "capa", r.random(), r.choice([None, None, "cache"]), some("local"), r.random(), r.choice([None, False, True]), some("nube"), r.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "file_id string, seq long, capa string, q_capa double, cache string, local string, q_local double, ilegible boolean, nube string, q_nube double")
+    left, want = 40, {}
+    for f, _, capa, qc, cache, local, ql, bad, nube, qn in sorted(rows, key=lambda x: (x[1], x[0])):
+        if qc >= 0.6:
+            want[f] = ("capa_texto", capa, "")
+        elif cache:
+            want[f] = ("cache_ocr", cache, "")
+        else:
+            q, rung, error = (ql if local else 0.0), "vision_ocr" if local else "degradado", ""
+            if not local or q < 0.6 or bad:
+                left, paid = left - 1, left > 0
+                if paid and nube and qn > q:
+                    rung, local = "vision_nube", nube
+                else:
+                    error = "presupuesto agotado" if not paid else "sin mejora" if nube else "sin respuesta"
+            want[f] = (rung, local or "", error)
+    monkeypatch.setattr(tables, "RANGE_ROWS", 7)
+    for n in (1, 5):
+        got = {x.file_id: (x.escalon, x.texto, x.error) for x in ladder.ladder(df.repartition(n), 40).collect()}
+        assert got == want
+    assert ladder.ladder(df.limit(0), 5).count() == 0 and "vision_nube" not in {x.escalon for x in ladder.ladder(df, 5, paid=False).collect()}
