@@ -134,10 +134,11 @@ def rule_coverage(spark, sf_dir):
     return reconcile.rule_coverage(decisions(spark, sf_dir))
 
 
-@query(WORLD + ", g AS (SELECT pedido_leido AS pedido, list(DISTINCT file_id ORDER BY file_id) AS fs FROM invoices GROUP BY 1 HAVING count(DISTINCT file_id) > 1) SELECT i.file_id, g.pedido, len(fs) AS n_files, array_to_string(list_filter(fs, lambda x: x <> i.file_id), ',') AS others FROM invoices i JOIN g ON g.pedido = i.pedido_leido")
+@query(DECIDED + ", g AS (SELECT m, count(*) AS n_files, min(file_id) AS first FROM r WHERE m IS NOT NULL GROUP BY 1 HAVING count(*) > 1) SELECT file_id, m AS pedido, g.n_files, first FROM r JOIN g USING (m)")
 def duplicate_orders_in_batch(spark, sf_dir):
-    inv = World(spark, sf_dir).invoices.withColumnRenamed("pedido_leido", "pedido")
-    return tables.repeated_orders(inv, "pedido", "file_id")
+    """Over the orders that documents were found to name, not those that are printed."""
+    found = reconcile.identified(*World(spark, sf_dir).tables()[:4]).select("file_id", F.col("matched").alias("pedido"))
+    return tables.repeated_orders(found, "pedido", "file_id")
 
 
 @query(WORLD + "SELECT pedido, proveedor, count(*) - 1 AS discarded, min(asiento_id) AS asiento_id, array_to_string(list_slice(list(asiento_id ORDER BY asiento_id), 2, count(*)), ',') AS discarded_ids FROM ledger GROUP BY 1, 2")

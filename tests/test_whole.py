@@ -48,3 +48,24 @@ def test_coherence_takes_every_document(spark):
         sums = sum(abs(a[i] + a[j] - a[x]) <= 2 for i in n for j in n if i < j for x in n if x not in (i, j))
         want.append((k, sums, sum(abs(a[i] * 121 - a[j] * 100) <= 200 for i in n for j in n if i != j)))
     assert rows(catalog.QUERIES["arithmetic_coherence_whole"](spark, SF).toPandas()) == sorted(want) == sql("arithmetic_coherence_whole", "lineitem")
+
+
+def test_ranks_with_outliers(spark):
+    """One value far from all others must not put these into one range."""
+    import numpy as np
+
+    g = np.random.default_rng(1)
+    values = [*(float(x) for x in g.integers(0, 4000, 6000) / 7), 1e18, -1e18]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("c", None)], "g string, v double")
+    from ledgermill.operators import tables
+
+    got = {r.g: r for r in tables.at_ranks(df, "g", "v", {"low": lambda n: n * 0, "mid": lambda n: (n / 2).cast("long"), "top": lambda n: n - 1}).collect()}
+    s = sorted(values)
+    assert (got["a"].low, got["a"].mid, got["a"].top) == (s[0], s[len(s) // 2], s[-1]) and got["b"].top == 1.0 and "c" not in got
+
+
+def test_repeated_orders(spark):
+    from ledgermill.operators import tables
+
+    df = spark.createDataFrame([("b", "1"), ("a", "1"), ("a", "1"), ("c", "2"), ("d", None), ("e", None)], "f string, o string")
+    assert sorted(tuple(r) for r in tables.repeated_orders(df, "o", "f").collect()) == [("a", "1", 2, "a"), ("b", "1", 2, "a")]
