@@ -40,7 +40,7 @@ from ledgermill.llm.common import BROADCAST_ROWS, bounded, stored
 OVERHEAD = 16
 BINS = 1024
 #: A group of copies of over this share of a shard's bytes is spread.
-SPREAD = 0.01
+SPREAD = 0.1
 #: A median is near enough when it is known to this share of a shard's bytes.
 TOLERANCE = 1e-4
 DIMENSIONS = ("d_lang", "d_source", "d_size", "d_id")
