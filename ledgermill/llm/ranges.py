@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgermill.llm.common import BROADCAST_ROWS, bounded, fresh, stored
 
 #: Rows that one range holds, about.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 10_000
 
 
 def with_sums_before(rows: DataFrame, value: str, order: list[Column], part: list[str], group: list[str], name: str) -> DataFrame:
