@@ -189,8 +189,10 @@ def test_guarded_match_against_all_pairs(spark):
 
 def test_scanned_amounts_are_repaired_by_the_ledger_only(spark):
     row = lambda i, base, iva, total, ocr: (i, base, iva, total, "1240.84", ocr)
-    rows = [row(1, "1025.49", "215.35", "12408.40", True), row(2, "102549.00", "215.35", None, True), row(3, "1025.49", "215.35", "1250.84", True), row(4, "1025.49", "215.35", "12408.40", False), row(5, "1.00", "2.00", "2385.80", True), row(6, None, None, None, True)]
-    df = spark.createDataFrame(rows, "i int, base string, iva string, total string, importe string, ocr boolean")
-    df = df.select("i", *[F.col(c).cast("decimal(18,2)").alias(c) for c in ("base", "iva", "total", "importe")], "ocr")
-    got = {x.i: tuple(None if v is None else str(v) for v in (x.base, x.iva, x.total)) for x in reconcile.repaired_amounts(df, F.lit(0.01).cast("decimal(18,2)")).collect()}
+    rows = [row(1, "1025.49", "215.35", "12408.40", True), row(2, "102549", "215.35", None, True), row(3, "1025.49", "215.35", "1250.84", True), row(4, "1025.49", "215.35", "12408.40", False), row(5, "1.00", "2.00", "2385.80", True), row(6, None, None, None, True)]
+    # Amounts as they are written: digits are never cut or changed, only the decimal mark is looked for.
+    df = spark.createDataFrame(rows, "i int, base_s string, iva_s string, total_s string, importe string, ocr boolean")
+    df = df.withColumn("importe", F.col("importe").cast("decimal(18,2)")).withColumn("foreign", F.lit(False))
+    amounts = reconcile.amounts(df, F.lit(0.01).cast("decimal(18,2)"))
+    got = {x.i: tuple(None if v is None else str(v) for v in (x.base, x.iva, x.total)) for x in amounts.collect()}
     assert got == {1: ("1025.49", "215.35", "1240.84"), 2: ("1025.49", "215.35", "1240.84"), 3: ("1025.49", "215.35", "1240.84"), 4: ("1025.49", "215.35", "12408.40"), 5: ("1.00", "2.00", "2385.80"), 6: (None, None, None)}
