@@ -73,6 +73,11 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df with a hint that joins shuffle both sides. Spark takes what an explode makes, and what compressed files hold, for far smaller than it is, and would broadcast it."""
+    return df.hint("merge")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermill.llm.common import BROADCAST_ROWS, stored
+from ledgermill.llm.common import BROADCAST_ROWS, shuffled, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -21,7 +21,8 @@ def _with_least(edges: DataFrame, least: DataFrame, links: int) -> DataFrame:
     hot = F.col("n") > max(1000, HOT_SHARE * links)
     few = F.broadcast(least.where(hot).select("u", F.col("m").alias("hot_m")))
     there = edges.join(few, "u", "left")
-    rest = there.where("hot_m is null").select("u", "v").join(least.where(~hot).select("u", "m"), "u")
+    own = least.where(~hot).select("u", "m")
+    rest = there.where("hot_m is null").select("u", "v").join(shuffled(own) if links > BROADCAST_ROWS else own, "u")
     return there.where("hot_m is not null").select("u", "v", F.col("hot_m").alias("m")).unionByName(rest)
 
 

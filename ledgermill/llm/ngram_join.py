@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermill.llm.common import BROADCAST_ROWS, bounded, stored
+from ledgermill.llm.common import BROADCAST_ROWS, bounded, shuffled, stored
 from ledgermill.llm.components import components
 
 N, THRESHOLD = 5, 0.8
@@ -315,8 +315,8 @@ def candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame
     node = F.shiftleft(F.col("tree").cast("long"), 64 - low).bitwiseOR(F.shiftrightunsigned("path", low))
     entries = entries.select("rep", node.alias("node"), F.col("path").bitwiseAND((1 << low) - 1).cast("int").alias("rest"))
     sizes = entries.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    matched = entries.join(sizes, "node")
-    rows = levels(matched, threshold, recall).join(classes.select("rep", "sketch"), "rep")
+    matched = entries.join(shuffled(sizes), "node")
+    rows = levels(matched, threshold, recall).join(shuffled(classes.select("rep", "sketch")), "rep")
     sizes = rows.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     rows = rows.join(bounded(stored(sizes), BROADCAST_ROWS), "node", "left")
     dealt = in_blocks(rows, "node", F.coalesce("blocks", F.lit(1)), "rep").select("key", "rest", "level", "rep", "block", "crossed", "sketch")
@@ -333,17 +333,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     classes = stored(signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")))
     groups = components(candidates(classes, threshold, recall))
     members = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
-    members = members.join(classes.select(F.col("rep").alias("node"), "digest", "copies", "n"), "node")
+    members = members.join(shuffled(classes.select(F.col("rep").alias("node"), "digest", "copies", "n")), "node")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = stored(members.join(sizes, "root"))
+    members = stored(members.join(shuffled(sizes), "root"))
     met = bounded(members, BROADCAST_ROWS)
     rows = texts.join(met, F.col("doc_id") == F.col("node")).select("root", "blocks", F.col("node").alias("rep"), "digest", "copies", "text")
     rows = in_blocks(rows, "root", F.col("blocks"), "rep").select("key", "rep", "block", "crossed", "digest", "copies", "text")
     found = stored(rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lambda it: _verify(it, threshold), "rep long, links long, root long"))
     connected = components(found.where("rep != root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links")).join(connected.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    of_class = classes.select("digest", "rep", "copies").join(links, "rep", "left")
-    out = signed.select("doc_id", "digest", "n").join(of_class, "digest", "left")
+    links = found.groupBy("rep").agg(F.sum("links").alias("links")).join(shuffled(connected.select(F.col("node").alias("rep"), "root")), "rep", "left")
+    of_class = classes.select("digest", "rep", "copies").join(shuffled(links), "rep", "left")
+    out = signed.select("doc_id", "digest", "n").join(shuffled(of_class), "digest", "left")
     has = F.col("n") > 0
     return out.select(
         "doc_id",

@@ -303,3 +303,11 @@ def test_pipeline(spark, docs, labels, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in out} <= {i for i, *_ in _rows()} and 0 in {x.doc_id for x in out}
     assert not {1, 2, 13, 3, 4, 5} & {x.doc_id for x in out}
+
+
+def test_what_an_explode_makes_is_not_broadcast(spark, monkeypatch):
+    """32 rows for each document, which Spark takes for one: on 0.5 GB the driver ran out of memory."""
+    classes = spark.createDataFrame([(i, list(range(32)), bytes(32)) for i in range(4)], "rep long, paths array<long>, sketch binary")
+    monkeypatch.setattr(ngram_join, "bounded", lambda df, rows: df.hint("merge"))
+    plan = ngram_join.candidates(classes, 0.8, 0.999)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
