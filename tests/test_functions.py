@@ -57,3 +57,16 @@ def test_texts(spark):
 @pytest.mark.parametrize(("a", "b", "want"), [("abc", "abd", 1 - 1 / 3), ("", "x", 0.0)])
 def test_similarity(spark, a, b, want):
     assert spark.range(1).select(N.similarity(F.lit(a), F.lit(b))).first()[0] == pytest.approx(want)
+
+
+def test_shares_of_letters_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    from ledgermill.plans import catalog
+
+    texts = ["a" * 41 + "#" * 5079, "a" * 1705 + "#" * 3415, "ñ 1#", "", None]
+    got = catalog.alpha_shares(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    assert repr([tuple(r) for r in got]) == repr(sorted(c.execute(catalog.ORACLES["alpha_ratio"]).fetchall()))
