@@ -133,6 +133,7 @@ def exclusive_lines(spark, sf_dir):
     i = w.invoices.select("k", "file_id", F.col("base").cast("string").alias("b")).join(w.truth.select("k", "po"), "k")
     # Both have order and amount: misread, on one line or two, with other punctuation.
     a = F.concat_ws("\n", F.concat(lit(" Pedido "), "po"), F.concat(lit("Servicio mensual "), "b"), F.when(k % 3 == 0, F.concat(lit("zzz"), k.cast("string"), lit("zzz"))), F.when(k % 4 == 0, lit("Gracias por su visita")), lit("--"))
-    b = F.concat_ws("\r\n", F.concat(lit("Pedldo: "), "po"), lit("Servicio mensual"), F.replace("b", lit("."), lit(",")), F.when(k % 5 == 0, lit("WWWW QQQQ WWWW")))
+    # No amount has a line of its own: of some keys the planted line of digits would be like it.
+    b = F.concat_ws("\r\n", F.concat(lit("Pedldo: "), "po"), lit("Servicio"), F.concat(lit("mensual "), F.replace("b", lit("."), lit(","))), F.when(k % 5 == 0, lit("WWWW QQQQ WWWW")))
     both = i.select("file_id", a.alias("a"), b.alias("b"))
     return both.select("file_id", F.array_join(evaluate.only_in(F.col("a"), F.col("b")), "|").alias("solo_a"), F.array_join(evaluate.only_in(F.col("b"), F.col("a")), "|").alias("solo_b"))

@@ -103,3 +103,24 @@ def test_ladder_is_the_same_at_any_partitioning(spark, monkeypatch):
         got = {x.file_id: (x.escalon, x.texto, x.error) for x in ladder.ladder(df.repartition(n), 40).collect()}
         assert got == want
     assert ladder.ladder(df.limit(0), 5).count() == 0 and "vision_nube" not in {x.escalon for x in ladder.ladder(df, 5, paid=False).collect()}
+
+
+def test_planted_lines_are_like_no_amount(spark, tmp_path):
+    """zzz1383912zzz is like a line that has 131839,12 alone, and only_in says so; the query plants lines that only one reader has."""
+    import datetime
+
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from ledgermill.functions import evaluate
+    from ledgermill.plans import catalog, texts
+
+    like = spark.createDataFrame([("zzz1383912zzz", "131839,12"), ("zzz1383912zzz", "mensual 131839,12")], "a string, b string")
+    assert [r[0] for r in like.select(evaluate.only_in(F.col("a"), F.col("b"))).collect()] == [[], ["zzz1383912zzz"]]
+    day = datetime.datetime(1998, 2, 6)
+    spark.createDataFrame([(1383912, 0, "O", 159525.33, day, "5-LOW"), (30, 0, "O", 100.0, day, "5-LOW")], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(0, "s", 0, 1.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    c = duckdb.connect()
+    for t in ("orders", "supplier"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, texts.exclusive_lines(spark, str(tmp_path)).collect())) == sorted(c.execute(catalog.ORACLES["exclusive_lines"]).fetchall())
