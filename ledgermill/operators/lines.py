@@ -39,18 +39,23 @@ def _re(pattern: str) -> str:
     return "'(?iU)" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _once(value: str, name: str, body: str) -> str:
+    """body, with value computed once under that name: inside lambdas Spark shares no work."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def _found(value: str, otherwise: str = "'ILEGIBLE'") -> str:
-    return f"named_struct('estado', if({value} is null, {otherwise}, 'ENCONTRADO'), 'valor', {value})"
+    return _once(value, "_v", f"named_struct('estado', if(_v is null, {otherwise}, 'ENCONTRADO'), 'valor', _v)")
 
 
 def _fiscal(rest: str) -> str:
     """The first token of rest in the form of a tax id, else the first with a digit."""
     tokens = f"regexp_extract_all({rest}, {_re('[A-Z0-9][A-Z0-9-]*')}, 0)"
-    return f"coalesce(get(filter({tokens}, t -> t rlike {_re(NIF_FORM)}), 0), get(filter({tokens}, t -> t rlike '[0-9]'), 0))"
+    return _once(tokens, "_ts", f"coalesce(get(filter(_ts, t -> t rlike {_re(NIF_FORM)}), 0), get(filter(_ts, t -> t rlike '[0-9]'), 0))")
 
 
 def _canonical(token: str) -> str:
-    return f"nullif(regexp_replace(upper({token}), '(?U)[^\\\\p{{L}}\\\\p{{N}}]', ''), '')"
+    return _once(f"regexp_replace(upper({token}), '(?U)[^\\\\p{{L}}\\\\p{{N}}]', '')", "_k", "nullif(_k, '')")
 
 
 def _after(pattern: str, text: str = "l.n") -> str:
@@ -60,11 +65,20 @@ def _after(pattern: str, text: str = "l.n") -> str:
 
 def fields(docs: DataFrame, text: str = "texto") -> DataFrame:
     """docs with a struct (estado, valor) for each of FIELDS. A null text has none of them."""
-    raw = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: searchable(x))
-    # Of every line the last amount, and whether a sign stands right before it.
-    signed = r"([-(−]?)(" + AMOUNT + ")"
-    last = lambda n, g: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(n, F.lit(f"(?U){signed}"), F.lit(g))), -1)
-    lines = F.transform(raw, lambda n, i: F.struct(i.alias("i"), n.alias("n"), last(n, 1).alias("sign"), N.amount(last(n, 2)).alias("amount")))
+    raw = F.split(searchable(F.coalesce(F.col(text), F.lit(""))), "\n")
+    # Of every line the last amount, and whether a sign stands right before it. A step at a time, since inside lambdas Spark shares no work.
+    signed = F.lit(f"(?U)[-(−]?(?:{AMOUNT})")
+    last = lambda n: F.when(n.rlike(r"(?U)\d"), F.try_element_at(F.regexp_extract_all(n, signed, F.lit(0)), F.lit(-1)))
+    bare = lambda m: F.regexp_replace(F.regexp_replace(m, "^[-(−]", ""), r"[^0-9.,\-]", "")
+    steps = [
+        lambda n, i: F.struct(i.alias("i"), n.alias("n"), last(n).alias("m")),
+        lambda x: F.struct(x["i"], x["n"], F.regexp_extract(x["m"], "^[-(−]", 0).alias("sign"), bare(x["m"]).alias("m")),
+        lambda x: F.struct(x["i"], x["n"], x["sign"], N.plain_amount(x["m"]).alias("m")),
+        lambda x: F.struct(x["i"], x["n"], x["sign"], N.parsed(x["m"]).alias("amount")),
+    ]
+    lines = raw
+    for f in steps:
+        lines = F.transform(lines, f)
     step = docs.withColumn("_l", lines)
     is_ = lambda p: f"l.n rlike {_re(p)}"
     marks = f"named_struct('i', l.i, 'n', l.n, 'client', {is_(CLIENT)}, 'iban', {is_('IBAN')}, 'label', {is_(NIF_LABEL)}, 'sign', coalesce(l.sign, get(_l, l.i + 1).sign), 'amount', if(l.sign is null, get(_l, l.i + 1).amount, l.amount))"

@@ -116,3 +116,10 @@ def test_extraction_equals_plain_reading(spark):
     for i, t in enumerate(texts):
         assert got[i] == plain(t), (t, {f: (got[i][f], plain(t)[f]) for f in L.FIELDS if got[i][f] != plain(t)[f]})
     assert L.fields(df.limit(0)).count() == 0
+
+
+def test_amounts_are_looked_for_once_a_line(spark):
+    """Lambdas share no work: written out, the search stood in the plan once for every use of what it finds."""
+    docs = spark.createDataFrame([("a", "TOTAL 1,00\n(2,50)")], "file_id string, texto string")
+    plan = L.fields(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(L.AMOUNT[:40]) == 1
