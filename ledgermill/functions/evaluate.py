@@ -24,19 +24,24 @@ def alnum(text: Column) -> Column:
 
 def distance(a: Column, b: Column) -> Column:
     """Edit distance, by bands of growing width."""
-    return F.coalesce(*[F.when(F.abs(F.length(a) - F.length(b)) <= band, F.nullif(F.levenshtein(a, b, band), F.lit(-1))) for band in BANDS], F.levenshtein(a, b))
+    within = lambda band: F.get(F.filter(F.array(F.levenshtein(a, b, band)), lambda x: x >= 0), 0)  # noqa: E731  (-1: beyond it)
+    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(*[F.when(F.abs(F.length(a) - F.length(b)) <= band, within(band)) for band in BANDS], F.levenshtein(a, b)))
 
 
 def in_order(text: Column) -> Column:
     """The characters of text, sorted."""
-    return F.array_join(F.array_sort(F.split(text, "")), "")
+    return F.array_join(F.sort_array(F.split(text, "")), "")
 
 
 def error_rates(truth: Column, guess: Column) -> Column:
     """A struct of chars (of the truth), cer, and cer_sorted (of sorted characters: what remains if order doesn't count), rounded to four places; 0 where there is no truth."""
-    a, b = alnum(truth), alnum(guess)
+    return rates_of(alnum(truth), alnum(guess))
+
+
+def rates_of(a: Column, b: Column) -> Column:
+    """error_rates of what alnum gives. Columns that hold it are best: an expression would be computed for every use."""
     n = F.length(a)
-    rate = lambda x, y: F.when(n == 0, F.lit(0.0)).otherwise(F.round(distance(x, y) / n, 4))
+    rate = lambda x, y: F.when((n == 0) | (a == b), F.lit(0.0)).otherwise(F.round(distance(x, y) / n, 4))
     return F.struct(n.cast("long").alias("chars"), rate(a, b).alias("cer"), rate(in_order(a), in_order(b)).alias("cer_sorted"))
 
 

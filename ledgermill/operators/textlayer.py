@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermill.functions.evaluate import error_rates
+from ledgermill.functions.evaluate import alnum, rates_of
 from ledgermill.operators.tables import nearest_rank
 
 # Least characters of a text layer, least ink of a drawn page, and the most that order and odd characters may be off.
@@ -21,19 +21,20 @@ def in_reading_order(pages: DataFrame, boxes: str) -> DataFrame:
 
     A box is on the line above it if its middle is within 0.6 heights of that line's mean. Lines are told in one pass over a page's boxes, so nothing is shuffled.
     """
-    plain = f"array_sort(transform(coalesce({boxes}, array()), (b, i) -> struct(-(b.top + b.bottom) / 2 as down, i as at, greatest(b.top - b.bottom, 0.1D) as h, b.left as x, b.texto as texto)))"
+    plain = f"sort_array(transform(coalesce({boxes}, array()), (b, i) -> struct(-(b.top + b.bottom) / 2 as down, i as at, greatest(b.top - b.bottom, 0.1D) as h, b.left as x, b.texto as texto)))"
     same = "s.n > 0 and abs(b.down - s.sum / s.n) <= 0.6D * greatest(b.h, s.h)"
-    after = f"struct(if({same}, s.line, s.line + 1) as line, if({same}, s.sum, 0D) + b.down as sum, if({same}, s.n, 0) + 1 as n, if({same}, greatest(s.h, b.h), b.h) as h, concat(s.out, array(if({same}, s.line, s.line + 1))) as out)"
+    # Inside lambdas Spark shares no work: whether it is on the same line is found once.
+    after = f"get(transform(array(coalesce({same}, false)), q -> if(q, struct(s.line as line, s.sum + b.down as sum, s.n + 1 as n, greatest(s.h, b.h) as h, concat(s.out, array(s.line)) as out), struct(s.line + 1 as line, 0D + b.down as sum, 1 as n, b.h as h, concat(s.out, array(s.line + 1)) as out))), 0)"
     start = "struct(0 as line, 0D as sum, 0 as n, 0D as h, cast(array() as array<int>) as out)"
     rows = pages.withColumn("_down", F.expr(plain)).withColumn("_line", F.expr(f"aggregate(_down, {start}, (s, b) -> {after}, s -> s.out)"))
-    read = "transform(array_sort(transform(_down, (b, i) -> struct(_line[i] as line, b.x as x, b.down as down, b.at as at, b.texto as texto))), b -> struct(b.texto as texto, b.at as at))"
+    read = "transform(sort_array(transform(_down, (b, i) -> struct(_line[i] as line, b.x as x, b.down as down, b.at as at, b.texto as texto))), b -> struct(b.texto as texto, b.at as at))"
     return rows.withColumn("leidas", F.expr(read)).drop("_down", "_line")
 
 
 def displaced(places: Column) -> Column:
     """The share of places that must move for the rest to be in order: 1 less the longest rising run of them, picked in order, as a share of all; 0 for none."""
     least = F.aggregate(places, F.array().cast("array<int>"), lambda tails, x: F.concat(F.filter(tails, lambda t: t < x), F.array(x), F.slice(F.filter(tails, lambda t: t >= x), F.lit(2), F.greatest(F.size(tails), F.lit(1)))))
-    return F.when(F.size(places) == 0, F.lit(0.0)).otherwise(F.round(1 - F.size(least) / F.size(places), 4))
+    return F.when((F.size(places) == 0) | (places == F.sort_array(places)), F.lit(0.0)).otherwise(F.round(1 - F.size(least) / F.size(places), 4))
 
 
 def page_measures(pages: DataFrame) -> DataFrame:
@@ -43,9 +44,8 @@ def page_measures(pages: DataFrame) -> DataFrame:
     """
     text = F.coalesce("texto", F.lit(""))
     read = F.array_join(F.transform("leidas", lambda b: b["texto"]), " ")
-    rates = error_rates(text, read)
     some = F.trim(read) != ""  # without boxes there is no other order
-    rows = in_reading_order(pages, "cajas").withColumn("_r", rates)
+    rows = in_reading_order(pages, "cajas").withColumns({"_a": alnum(text), "_b": alnum(read)}).withColumn("_r", rates_of(F.col("_a"), F.col("_b")))
     rate = lambda name: F.when(some & (F.trim(text) != ""), F.col(f"_r.{name}")).otherwise(0.0)
     return rows.select(
         "file_id",

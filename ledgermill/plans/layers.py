@@ -14,16 +14,24 @@ _SHARES = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p100": 1.0}
 def _pages(spark, sf_dir) -> DataFrame:
     """A document an order, a page four lines, two boxes a line (left: part and date; right: amount), in one of three inner orders."""
     c, lit = F.col, F.lit
-    li = _t(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("k"), c("l_linenumber").cast("int").alias("n"), c("l_partkey").alias("part"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), c("l_extendedprice").cast("decimal(18,2)").cast("string").alias("price"))
-    k = c("k")
-    words = F.array(F.struct(lit(0).alias("col"), F.concat_ws(" ", lit("pieza"), c("part").cast("string"), c("day")).alias("texto")), F.struct(lit(1).alias("col"), F.concat(lit("importe "), c("price"), F.when(k % 11 == 0, "\ue000\ufffd").otherwise("")).alias("texto")))
-    boxes = li.select("k", "n", "part", F.explode(words).alias("w")).select("k", "n", "part", "w.*")
-    # A line's second box hangs a little lower; it is on the line all the same.
-    top = (lit(800) - c("n") * 20 - c("col") * 3).cast("double")
-    box = F.struct("texto", (lit(10) + c("col") * 200).cast("double").alias("left"), (top - 10).alias("bottom"), (lit(150) + c("col") * 200).cast("double").alias("right"), top.alias("top"))
-    three = lambda *x: F.array(*[v.cast("long") for v in x])
-    place = F.when(k % 5 == 0, three(c("part"), c("n"), c("col"))).when(k % 7 == 0, three(c("col"), c("n"), lit(0))).otherwise(three(c("n"), c("col"), lit(0)))
-    pages = boxes.groupBy("k", F.when(c("n") > 4, 2).otherwise(1).alias("pagina")).agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("at"), box.alias("box")))), lambda x: x["box"]).alias("cajas"))
+    li = _t(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("k"), c("l_linenumber").cast("int").alias("n"), c("l_partkey").alias("part"), "l_shipdate", "l_extendedprice")
+    k, three = c("k"), lambda *x: F.array(*[v.cast("long") for v in x])
+
+    def two(x):
+        """The boxes of a line, with their places. A line's second box hangs a little lower; it is on the line all the same."""
+        day, price = F.date_format(x["l_shipdate"], "yyyy-MM-dd"), x["l_extendedprice"].cast("decimal(18,2)").cast("string")
+        texts = [F.concat_ws(" ", lit("pieza"), x["part"].cast("string"), day), F.concat(lit("importe "), price, F.when(k % 11 == 0, "\ue000\ufffd").otherwise(""))]
+
+        def box(col):
+            top = (lit(800) - x["n"] * 20 - col * 3).cast("double")
+            place = F.when(k % 5 == 0, three(x["part"], x["n"], lit(col))).when(k % 7 == 0, three(lit(col), x["n"], lit(0))).otherwise(three(x["n"], lit(col), lit(0)))
+            return F.struct(place.alias("at"), F.struct(texts[col].alias("texto"), lit(10.0 + col * 200).alias("left"), (top - 10).alias("bottom"), lit(150.0 + col * 200).alias("right"), top.alias("top")).alias("box"))
+
+        return F.array(box(0), box(1))
+
+    # Lines are gathered as they are in the table; boxes are made in their page's row.
+    lines = li.groupBy("k", F.when(c("n") > 4, 2).otherwise(1).alias("pagina")).agg(F.collect_list(F.struct("n", "part", "l_shipdate", "l_extendedprice")).alias("lines"))
+    pages = lines.select("k", "pagina", F.transform(F.sort_array(F.flatten(F.transform("lines", two))), lambda x: x["box"]).alias("cajas"))
     scan = k % 17 == 0
     return pages.select(
         F.concat(lit("doc_"), k.cast("string")).alias("file_id"),
