@@ -85,3 +85,11 @@ def test_anchors_equal_brute_force(spark):
     got = {tuple(x) for x in A.anchors(spark.createDataFrame(values, "file_id string, campo string, valor string"), df).collect()}
     assert got == brute(values, lines) and len({x[5] for x in got}) == 3 and len({x[6] for x in got}) == 3
     assert A.anchors(spark.createDataFrame(values, "file_id string, campo string, valor string"), df.limit(0)).count() == 0
+
+
+def test_lines_are_not_cut_up_for_the_join(spark):
+    """Pieces of all lines, shuffled by document and piece, filled the disk: tokens meet lines by document, and what follows stays where it is."""
+    values = spark.createDataFrame([("f1", "pedido", "PO-2026-0001")], "file_id string, campo string, valor string").hint("merge")
+    lines = spark.createDataFrame([("f1", 0, 0, "PO-2026-0001")], "file_id string, pagina int, num int, texto string")
+    plan = A.anchors(values, lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 3
