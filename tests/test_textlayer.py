@@ -76,3 +76,13 @@ def test_flags_and_report(spark):
     assert (got["girado"].pages, got["roto"].weird, got["nada"].chars) == (2, 3, 0)
     report = {r.name: r.value for r in textlayer.layer_report(flags, {"p0": 0.0, "p100": 1.0}).collect()}
     assert report == {"documentos": 7.0, "con_capa": 4.0, "sin_capa": 3.0, "basura": 1.0, "desorden": 1.0, "fantasma": 1.0, "escaneo": 2.0, "ink_p0": 0.0, "ink_p100": 0.02, "order_cer_p0": 0.0, "order_cer_p100": turned.order_cer}
+
+
+def test_pages_are_sorted_without_lambdas(spark):
+    """A lambda a comparison for every character of a page took most of the time."""
+    from ledgermill.operators import textlayer
+
+    pages = spark.createDataFrame([("a", 1, "b a", [("b", 10.0, 0.0, 20.0, 10.0), ("a", 0.0, 0.0, 5.0, 10.0)], 0.1)], f"file_id string, pagina int, texto string, cajas {textlayer.BOXES}, ink double")
+    measured = textlayer.page_measures(pages)
+    assert "array_sort(" not in measured._jdf.queryExecution().optimizedPlan().toString().replace("sort_array(", "")
+    assert [tuple(r)[2:] for r in measured.collect()] == [(2, 0, 1.0, 0.0, 0.5, 0.1)]
