@@ -307,7 +307,7 @@ def test_pipeline(spark, docs, labels, tmp_path):
 
 def test_what_an_explode_makes_is_not_broadcast(spark, monkeypatch):
     """32 rows for each document, which Spark takes for one: on 0.5 GB the driver ran out of memory."""
-    classes = spark.createDataFrame([(i, list(range(32)), bytes(32)) for i in range(4)], "rep long, paths array<long>, sketch binary")
+    classes = spark.range(4).select(F.col("id").alias("rep"), F.sequence(F.lit(0), F.lit(31)).cast("array<long>").alias("paths"), F.lit(bytes(32)).alias("sketch"))  # of known size
     monkeypatch.setattr(ngram_join, "bounded", lambda df, rows: df.hint("merge"))
     plan = ngram_join.candidates(classes, 0.8, 0.999)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
